@@ -5,11 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, mix, secrets, tokens
+from . import decontaminate, langid, licenses, mix, secrets, tokens
 from .common import table
 
 
+def held_out(df: DataFrame) -> DataFrame:
+    """Adds held_out: crc32 of the id as text is 1 modulo 3 (never for a null id)."""
+    return df.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False)))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = held_out(table(spark, sf_dir, "documents"))
+    found = langid.identify_language(docs, langid.train(docs.where("not held_out")), keep=["doc_id", "held_out"])
+    return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan_licenses(table(spark, sf_dir, "documents")))
 
@@ -33,7 +45,7 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_license_scans, op4_benchmark_decontamination, op5_source_mix, op7_token_counts, op9_secret_scans)}
+    return {f.__name__: f for f in (op2_language_id, op3_license_scans, op4_benchmark_decontamination, op5_source_mix, op7_token_counts, op9_secret_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
