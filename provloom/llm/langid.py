@@ -22,8 +22,9 @@ ORDER = 5
 #: Bounds of the labelled sample that the models are fitted on: documents of each language, and
 #: characters of each language (a document that doesn't fit any more is left out).
 TRAIN_DOCS, TRAIN_CHARS = 300, 2_000_000
-#: Standard deviations above the mean cross-entropy of a language from which a text is rejected.
-REJECT_AT = 8.0
+#: A text is rejected if its cross-entropy is above the mean of its language by this share of the mean
+#: (names, code and secrets in a text of the language) and by so many standard deviations more.
+REJECT_SLACK, REJECT_AT = 0.35, 8.0
 #: Words whose scores a worker remembers; the table is emptied beyond that, which changes no result.
 REMEMBERED, LONGEST_REMEMBERED = 300_000, 32
 
@@ -193,7 +194,7 @@ class Identifier:
             rate = self.scores[at].sum(axis=0) / n
             best = int(np.argmin(rate))  # ties: the first language by name
             mean, per_char, per_text = self.model.calibration[best]
-            rejected = bool(rate[best] - mean > REJECT_AT * np.sqrt(per_char / n + per_text))
+            rejected = bool(rate[best] - (1 + REJECT_SLACK) * mean > REJECT_AT * np.sqrt(per_char / n + per_text))
             out.append((self.model.languages[best], float(1 / np.exp(-(rate - rate[best]) * min(n, 50.0)).sum()), float(rate[best]), rejected))
         return out
 
