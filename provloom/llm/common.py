@@ -118,3 +118,50 @@ def rolling(values: np.ndarray, width: int) -> np.ndarray:
     for k in range(width):
         h = mix64(h ^ values[k : k + n])
     return h
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, 9, 10, 11, 12, 13]] = True
+_BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
+_FOLDED = _BYTE[np.frombuffer(_FOLD, np.uint8)]
+_R, _R_INVERSE = 0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64)
+
+
+class _Powers:
+    """Powers of an odd number and of its inverse modulo 2**64, made once and extended as needed."""
+
+    up = down = np.ones(1, np.uint64)
+
+    @classmethod
+    def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) < n:
+            size = max(n, 2 * len(cls.up), 1 << 16)
+            cls.up, cls.down = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(size, r, np.uint64)))) for r in (np.uint64(_R), np.uint64(_R_INVERSE)))
+        return cls.up, cls.down
+
+
+def word_spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of a byte array, which are what stands between the six spaces."""
+    word = ~_SPACE[raw]
+    edge = np.flatnonzero(word[1:] != word[:-1]) + 1
+    if len(word) and word[0]:
+        edge = np.concatenate(([0], edge))
+    if len(word) and word[-1]:
+        edge = np.concatenate((edge, [len(word)]))
+    return edge[::2], edge[1::2]
+
+
+def word_hashes(texts: list[str | None], fold: bool) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of some texts (see ``space_words``), and where each text's begin.
+
+    The hash of a word is a polynomial over its bytes, taken from prefix sums, then mixed.
+    """
+    parts = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
+    raw = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
+    up, down = _Powers.upto(len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((_FOLDED if fold else _BYTE)[raw] * up[: len(raw)], out=sums[1:])
+    s, e = word_spans(raw)
+    hashes = mix64((sums[e] - sums[s]) * down[s] ^ (e - s).astype(np.uint64))
+    return hashes, np.searchsorted(s, np.concatenate(([0], np.cumsum(sizes))))

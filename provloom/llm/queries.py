@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, mix, secrets, tokens
+from . import decontaminate, langid, licenses, minhash, mix, secrets, tokens
 from .common import table
 
 
@@ -40,12 +40,16 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_license_scans, op4_benchmark_decontamination, op5_source_mix, op7_token_counts, op9_secret_scans)}
+    return {f.__name__: f for f in (op2_language_id, op3_license_scans, op4_benchmark_decontamination, op5_source_mix, op7_token_counts, op8_minhash_near_dedup, op9_secret_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
