@@ -10,11 +10,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 #: Texts of a batch that an operator holds as Python objects at one time.
 SLICE_ROWS = 256
+#: Bytes of such texts; a longer text stands alone.
+SLICE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,9 +48,16 @@ def cut(df: DataFrame, label: str) -> DataFrame:
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of at most ``rows`` rows and about ``SLICE_BYTES`` of strings."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        texts = [c for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_binary(c.type)]
+        size = sum((pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in texts), np.zeros(batch.num_rows, np.int64))
+        until, at = np.cumsum(size), 0
+        while at < batch.num_rows:
+            end = int(np.searchsorted(until, until[at] - size[at] + SLICE_BYTES, side="right"))
+            end = min(max(end, at + 1), at + rows, batch.num_rows)
+            yield batch.slice(at, end - at)
+            at = end
 
 
 def arrow_schema(schema: T.StructType) -> pa.Schema:

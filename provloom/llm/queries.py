@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, minhash, mix, secrets, tokens
+from . import decontaminate, langid, licenses, minhash, mix, secrets, substring, tokens
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix_sources(table(spark, sf_dir, "documents"), weights=[3, 1, 2])
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digest(substring.dedup_substrings(table(spark, sf_dir, "documents")))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -49,7 +53,7 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_license_scans, op4_benchmark_decontamination, op5_source_mix, op7_token_counts, op8_minhash_near_dedup, op9_secret_scans)}
+    return {f.__name__: f for f in (op2_language_id, op3_license_scans, op4_benchmark_decontamination, op5_source_mix, op6_substring_dedup, op7_token_counts, op8_minhash_near_dedup, op9_secret_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
