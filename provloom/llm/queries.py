@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, minhash, mix, secrets, substring, tokens
+from . import decontaminate, langid, licenses, minhash, mix, secrets, substring, suffix, tokens
 from .common import table
 
 
@@ -16,6 +16,10 @@ def held_out(df: DataFrame) -> DataFrame:
     return df.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False)))
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digest(suffix.dedup_suffixes(table(spark, sf_dir, "documents")))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = held_out(table(spark, sf_dir, "documents"))
     found = langid.identify_language(docs, langid.train(docs.where("not held_out")), keep=["doc_id", "held_out"])
@@ -53,7 +57,7 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_license_scans, op4_benchmark_decontamination, op5_source_mix, op6_substring_dedup, op7_token_counts, op8_minhash_near_dedup, op9_secret_scans)}
+    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_language_id, op3_license_scans, op4_benchmark_decontamination, op5_source_mix, op6_substring_dedup, op7_token_counts, op8_minhash_near_dedup, op9_secret_scans)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -54,7 +54,7 @@ def segments(units: np.ndarray, begins: np.ndarray, window: int, gram: int) -> t
         return np.empty(0, ANCHOR), np.empty(0, np.int64)
     hasher = Hasher(units)
     place = np.arange(len(units) - gram + 1)
-    grams = hasher.of(place, place + gram)
+    grams = mix64((hasher.sums[gram:] - hasher.sums[:-gram]) * hasher.down[: len(place)])
     low = np.uint64((1 << 24) - 1)
     # The place in the low bits, falling, makes the last of equal grams the smallest.
     packed = (grams & ~low) | (low - (place.astype(np.uint64) & low))
@@ -119,16 +119,16 @@ def anchor_blocks(docs: DataFrame, units: Units, window: int, gram: int, buckets
     return docs.select("doc", "ref", "text").mapInArrow(run, _BLOCK)
 
 
-def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
-    """The blocks of each bucket; rows of a bucket stand together."""
+def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+    """The blocks of each bucket (tuples, if there are several to a row); rows of a bucket stand together."""
     now, held = None, []
     for part in slices(batches, 256):
-        for bucket, block in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+        for bucket, *block in zip(*(c.to_pylist() for c in part.columns)):
             if bucket != now and held:
                 yield held
                 held = []
             now = bucket
-            held.append(block)
+            held.append(block[0] if len(block) == 1 else tuple(block))
     if held:
         yield held
 
@@ -165,7 +165,9 @@ def settle(blocks: DataFrame, within: bool) -> DataFrame:
                 continue
             new_h, new_c = runs(rows["h"]), runs(rows["h"], rows["c"])
             first = np.flatnonzero(new_c)[np.cumsum(new_c) - 1]
-            repeat = ~new_c if within else rows["doc"] != rows["doc"][first]
+            repeat = rows["doc"] != rows["doc"][first]
+            if within:  # a fully repeated row isn't later than itself
+                repeat |= (rows["ref"] != rows["ref"][first]) | (rows["start"] != rows["start"][first])
             edges = np.flatnonzero(new_h)
             several = np.add.reduceat(new_c, edges) > 1
             if not within:
