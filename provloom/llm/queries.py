@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, minhash, mix, secrets, substring, suffix, tokens
+from . import decontaminate, langid, licenses, minhash, mix, secrets, substring, suffix, tokens, vectors
 from .common import table
 
 
@@ -56,8 +56,12 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_language_id, op3_license_scans, op4_benchmark_decontamination, op5_source_mix, op6_substring_dedup, op7_token_counts, op8_minhash_near_dedup, op9_secret_scans)}
+    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_language_id, op3_license_scans, op4_benchmark_decontamination, op5_source_mix, op6_substring_dedup, op7_token_counts, op8_minhash_near_dedup, op9_secret_scans, op10_embedding_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
