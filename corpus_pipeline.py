@@ -1,29 +1,71 @@
-"""A training corpus made from ``documents`` in stages."""
+"""A training corpus made from ``documents`` in five stages.
+
+Each stage takes all that its predecessor kept and is written as Parquet before the next one reads it.
+Stages choose documents or change texts and hand on the columns of ``documents``; the last adds how
+many words of each document the mix takes.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from provloom.llm import secrets
+from provloom.llm import decontaminate, langid, minhash, mix, secrets
 from provloom.llm.common import cut, table
+from provloom.llm.queries import held_out
+
+
+def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that are in none of the labelled languages (no letters, or rejected by all models)."""
+    labelled = held_out(docs.select("doc_id", "lang", "text")).where("not held_out")
+    found = langid.identify_language(docs, langid.train(labelled), keep=docs.columns)
+    return found.where("not rejected").select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document, that of the smallest id, of each group of near duplicates (five words, 0.8)."""
+    kept = cut(minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")), "pipeline-kept")
+    ids = kept.groupBy("_id").agg(F.count(F.lit(1)).alias("_n"))
+    repeats = ids.where("_n > 1").select("_id")
+    once = docs.join(ids.where("_n = 1").select("_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    # Rows that repeat an id: one of each.
+    return once.unionByName(docs.join(repeats, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id"])) if not repeats.isEmpty() else once
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents of which benchmark windows cover a twentieth of the words or more."""
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=docs.columns)
+    return found.where("not contaminated").select(docs.columns)
+
 
+def take_out_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Puts a mark in the place of each secret; every document stays."""
+    found = secrets.scan_secrets(docs, keep=docs.columns)
+    changed = F.size("spans") > 0
+    new = {"text": F.when(changed, F.col("redacted")).otherwise(F.col("text")), "n_chars": F.when(changed, F.char_length("redacted").cast("long")).otherwise(F.col("n_chars"))}
+    return found.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
 
-def scan_out_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes the secrets out of the texts; every document stays."""
-    from pyspark.sql import functions as F
 
-    scanned = secrets.scan_secrets(docs, keep=[c for c in docs.columns if c != "text"])
-    return scanned.select(*[F.col("redacted").alias("text") if c == "text" else F.char_length("redacted").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes words of, with how many it takes."""
+    return mix.mix_sources(docs, weights=[3, 1, 2], keep=docs.columns).where("taken > 0")
 
 
-STAGES = [("secret_scans", scan_out_secrets)]
+STAGES = [
+    ("language_id", identify_languages),
+    ("minhash_near_dedup", drop_near_duplicates),
+    ("benchmark_decontamination", drop_contaminated),
+    ("secret_scans", take_out_secrets),
+    ("source_mix", mix_to_weights),
+]
 
-#: The stages run Python operators, which SQL can't express; tests hold them against brute force.
+#: Language models, sketches and lexing are beyond SQL; tests hold the stages against brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage.  Empty tables and nulls are treated as the stages' operators say."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), name)
+        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs

@@ -66,6 +66,14 @@ def arrow_schema(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
+def with_text(df: DataFrame, keep: list[str], text: str) -> tuple[DataFrame, int]:
+    """The columns ``keep`` as _k0, _k1, ... and the text, once; and the place of the text."""
+    kept = [df[c].alias(f"_k{i}") for i, c in enumerate(keep)]
+    if text in keep and df.schema[text].dataType == T.StringType():
+        return df.select(*kept), keep.index(text)
+    return df.select(*kept, df[text].cast("string").alias("_t")), len(keep)
+
+
 def map_texts(
     df: DataFrame, keep: list[str], text: str, added: T.StructType, make: Callable[[], Callable[[str | None], tuple]]
 ) -> DataFrame:
@@ -74,7 +82,7 @@ def map_texts(
     ``make`` runs once a task.  Only the named columns are read, so other columns, whatever they
     are called, don't matter.  Narrow: no shuffle, and memory is bounded by a slice of texts.
     """
-    source = df.select(*[df[c].alias(f"_k{i}") for i, c in enumerate(keep)], df[text].cast("string").alias("_t"))
+    source, text_at = with_text(df, keep, text)
     schema = T.StructType([T.StructField(c, df.schema[c].dataType, True) for c in keep] + list(added.fields))
     out = arrow_schema(schema)
     n_keep = len(keep)
@@ -82,7 +90,7 @@ def map_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
         for part in slices(batches):
-            rows = [each(t) for t in part.column(n_keep).to_pylist()]
+            rows = [each(t) for t in part.column(text_at).to_pylist()]
             columns = [part.column(i).cast(out.field(i).type) for i in range(n_keep)]
             columns += [pa.array([r[j] for r in rows], type=out.field(n_keep + j).type) for j in range(len(added))]
             yield pa.RecordBatch.from_arrays(columns, schema=out)

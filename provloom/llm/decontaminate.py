@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, folded_words, slices
+from .common import arrow_schema, folded_words, slices, with_text
 from .fmindex import FMIndex
 
 WINDOW = 13
@@ -131,25 +131,26 @@ def decontaminate(
     wanted = benchmark.select(benchmark[item_col].cast("string").alias("item"), benchmark[item_text_col].cast("string").alias("text"))
     size = wanted.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    now = df.select(*[df[c].alias(f"_k{i}") for i, c in enumerate(keep)], df[text_col].cast("string").alias("_t"), F.lit(0).cast("long").alias("n_words"), F.array().cast(_SPANS).alias("spans"), F.array().cast("array<string>").alias("items"))
+    now, text_at = with_text(df, keep, text_col)
+    now = now.select("*", F.lit(0).cast("long").alias("n_words"), F.array().cast(_SPANS).alias("spans"), F.array().cast("array<string>").alias("items"))
     for b in range(blocks):
         block = wanted.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect()
-        now = _pass(now, len(keep), Phrases([(r["item"], r["text"]) for r in block], window), last=b == blocks - 1)
+        now = _pass(now, text_at, Phrases([(r["item"], r["text"]) for r in block], window), last=b == blocks - 1)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return now.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], "n_words", n_hit.alias("n_hit"), "spans", "items").withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
-def _pass(df: DataFrame, n_keep: int, phrases: Phrases, last: bool) -> DataFrame:
+def _pass(df: DataFrame, text_at: int, phrases: Phrases, last: bool) -> DataFrame:
     """Adds to spans and items what one block of the benchmark has in each text; the last drops the text."""
     held = df.sparkSession.sparkContext.broadcast(phrases)
     schema = T.StructType([f for f in df.schema if not (last and f.name == "_t")])
-    out, n_same = arrow_schema(schema), n_keep + (not last)
+    out, n_same = arrow_schema(schema), len(schema) - 3
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, SHARD_ROWS):
-            found = search_shard(part.column(n_keep).to_pylist(), held.value)
-            spans = [[{"start": s, "end": e} for s, e in merge([(x["start"], x["end"]) for x in old] + new)] for old, (_, new, _) in zip(part.column(n_keep + 2).to_pylist(), found)]
-            items = [sorted(set(old) | {i for i in new if i is not None}) for old, (_, _, new) in zip(part.column(n_keep + 3).to_pylist(), found)]
+            found = search_shard(part.column(text_at).to_pylist(), held.value)
+            spans = [[{"start": s, "end": e} for s, e in merge([(x["start"], x["end"]) for x in old] + new)] for old, (_, new, _) in zip(part.column("spans").to_pylist(), found)]
+            items = [sorted(set(old) | {i for i in new if i is not None}) for old, (_, _, new) in zip(part.column("items").to_pylist(), found)]
             columns = [part.column(i).cast(out.field(i).type) for i in range(n_same)]
             columns += [pa.array(v, type=out.field(n_same + j).type) for j, v in enumerate(([n for n, _, _ in found], spans, items))]
             yield pa.RecordBatch.from_arrays(columns, schema=out)

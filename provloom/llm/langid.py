@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SLICE_ROWS, arrow_schema, mix64, slices
+from .common import SLICE_ROWS, arrow_schema, mix64, slices, with_text
 
 ORDER = 5
 #: Bounds of the labelled sample that the models are fitted on: documents of each language, and
@@ -232,7 +232,7 @@ def identify_language(df: DataFrame, model: LanguageModels, keep: list[str], tex
     name.  Repeated rows give repeated results, an empty table gives none, other columns are not read.
     """
     held = df.sparkSession.sparkContext.broadcast(model)
-    source = df.select(*[df[c].alias(f"_k{i}") for i, c in enumerate(keep)], df[text_col].cast("string").alias("_t"))
+    source, text_at = with_text(df, keep, text_col)
     schema = T.StructType([T.StructField(c, df.schema[c].dataType) for c in keep] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("cross_entropy", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
     out, n_keep = arrow_schema(schema), len(keep)
 
@@ -241,7 +241,7 @@ def identify_language(df: DataFrame, model: LanguageModels, keep: list[str], tex
 
         identifier = Identifier(held.value)
         for part in slices(batches, SLICE_ROWS):
-            found = identifier.identify(part.column(n_keep).to_pylist())
+            found = identifier.identify(part.column(text_at).to_pylist())
             columns = [part.column(i).cast(out.field(i).type) for i in range(n_keep)]
             columns += [pa.array([f[j] for f in found], type=out.field(n_keep + j).type) for j in range(4)]
             yield pa.RecordBatch.from_arrays(columns, schema=out)

@@ -25,10 +25,8 @@ from pyspark.sql import types as T
 from .common import arrow_schema, cut, mix64, rolling, slices, word_hashes
 from .components import components
 
-#: Words of a shingle; bands of the sketch and bins of a band.  At a similarity of 0.85 two sets share
-#: no band with probability 4e-7.
-SHINGLE, BANDS, ROWS = 5, 25, 5
-SIZE = BANDS * ROWS
+#: Words of a shingle; bins of a sketch; the chance that two sets at the threshold share no band.
+SHINGLE, SIZE, MISS = 5, 125, 1e-6
 #: Sets and shingles of a block of a group; larger groups are verified by pairs of blocks.
 BLOCK_SETS, BLOCK_SHINGLES = 2048, 1_500_000
 
@@ -70,11 +68,18 @@ def sketches(sets: list[np.ndarray], size: int = SIZE) -> np.ndarray:
     return (mix64(bins) >> np.uint64(32)).astype(np.uint32).reshape(n, size)
 
 
-def band_keys(sketch: np.ndarray) -> np.ndarray:
+def rows_for(percent: int) -> int:
+    """The most bins of a band with which a pair at the threshold is missed with probability ``MISS`` at most."""
+    p = percent / 100
+    return max((r for r in range(1, 17) if (1 - p**r) ** (SIZE // r) <= MISS), default=1)
+
+
+def band_keys(sketch: np.ndarray, rows: int) -> np.ndarray:
     """A 64-bit key of each band of each sketch."""
-    parts = sketch.reshape(len(sketch), BANDS, ROWS).astype(np.uint64)
-    h = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(sketch), BANDS))
-    for r in range(ROWS):
+    bands = SIZE // rows
+    parts = sketch[:, : bands * rows].reshape(len(sketch), bands, rows).astype(np.uint64)
+    h = np.broadcast_to(np.arange(bands, dtype=np.uint64), (len(sketch), bands))
+    for r in range(rows):
         h = mix64(h ^ mix64(parts[:, :, r] + np.uint64(r << 40)))
     return h.view(np.int64)
 
@@ -130,7 +135,7 @@ def _longs(*names: str) -> list[T.StructField]:
     return [T.StructField(n, T.LongType()) for n in names]
 
 
-def _describe(df: DataFrame) -> DataFrame:
+def _describe(df: DataFrame, rows: int) -> DataFrame:
     """Of each row (id, ref, text): id, ref, size, key and band keys of the text's set."""
     schema = T.StructType([df.schema["id"], *_longs("ref", "n_shingles", "key", "key2"), T.StructField("bands", T.ArrayType(T.LongType()))])
     out = arrow_schema(schema)
@@ -138,7 +143,7 @@ def _describe(df: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             sets = shingle_sets(part.column(2).to_pylist())
-            bands = band_keys(sketches(sets)).tolist()
+            bands = band_keys(sketches(sets), rows).tolist()
             keys = [_key(s) if len(s) else (None, None) for s in sets]
             made = [[len(s) for s in sets], [k for k, _ in keys], [k for _, k in keys], [b if len(s) else [] for b, s in zip(bands, sets)]]
             yield pa.RecordBatch.from_arrays([part.column(i).cast(out.field(i).type) for i in range(2)] + [pa.array(m, out.field(2 + i).type) for i, m in enumerate(made)], schema=out)
@@ -190,14 +195,14 @@ def _verify(df: DataFrame, percent: int) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """Groups of documents that are linked by 100 * intersection >= ``percent`` * union of their sets.
 
     Returns ``id_col``, n_shingles, component_id (the smallest id that links reach, itself included)
     and kept (the id is that smallest one), one row per input row.  Exact copies are one set, found
     by its key, and aren't compared.  Links are confirmed on whole sets (of 64-bit hashes of
-    shingles); candidates share a band, which two sets at 0.85 miss with probability 4e-7 (at 0.9,
-    2e-9).
+    shingles); candidates share a band, which two sets at the threshold miss with probability
+    ``MISS`` at most, and closer ones less.
 
     Null texts and texts without words have an empty set and stay alone.  Whole texts are used.
     Rows that repeat an id get their results each; a null id is a component's id only if it has no
@@ -205,7 +210,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     text = df[text_col].cast("string")
     docs = df.select(df[id_col].alias("id"), F.coalesce(F.when(df[id_col].isNotNull(), F.xxhash64(df[id_col])), F.xxhash64(text)).alias("ref"), text.alias("text"))
-    base = cut(_describe(docs), "minhash-base")
+    base = cut(_describe(docs, rows_for(percent)), "minhash-base")
     nodes = cut(
         base.where("key is not null").groupBy("key", "key2").agg(F.min("id").alias("first"), F.min("ref").alias("ref"), F.min("n_shingles").alias("n_shingles"), F.any_value("bands").alias("bands")),
         "minhash-sets",
