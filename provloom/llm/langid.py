@@ -23,8 +23,8 @@ ORDER = 5
 #: characters of each language (a document that doesn't fit any more is left out).
 TRAIN_DOCS, TRAIN_CHARS = 300, 2_000_000
 #: A text is rejected if its cross-entropy is above the mean of its language by this share of the mean
-#: (names, code and secrets in a text of the language) and by so many standard deviations more.
-REJECT_SLACK, REJECT_AT = 0.35, 8.0
+#: (texts of two languages, names, code) and by so many standard deviations more.
+REJECT_SLACK, REJECT_AT = 1.0, 8.0
 #: Words whose scores a worker remembers; the table is emptied beyond that, which changes no result.
 REMEMBERED, LONGEST_REMEMBERED = 300_000, 32
 
