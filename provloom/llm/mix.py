@@ -71,7 +71,8 @@ def mix_sources(
     words has target 0.  An empty table gives none.  Other columns are not read unless kept.
     """
     keep = keep or [id_col]
-    key = F.xxhash64(df[id_col].cast("string"), F.lit(seed))
+    # 60 bits of a digest that every engine has, so that the order can be checked elsewhere.
+    key = F.conv(F.left(F.md5(F.concat_ws(":", F.lit(seed), df[id_col].cast("string"))), F.lit(15)), 16, 10).cast("long")
     sized = df.select(
         *[df[c].alias(f"_k{i}") for i, c in enumerate(keep)],
         df[source_col].alias("source"),
@@ -97,7 +98,7 @@ def mix_sources(
     # Tables in the shared folder have known sizes: the planner broadcasts the plan only if it is small.
     ranged = lambda rows: (
         rows.join(plan, rows["source"].eqNullSafe(plan["_source"]))
-        .withColumn("_range", F.shiftright(F.shiftrightunsigned("_key", 33) * F.col("_ranges"), 31))
+        .withColumn("_range", F.shiftright(F.shiftright("_key", 29) * F.col("_ranges"), 31))
     )
     sums = ranged(slim).groupBy("_source", "_range").agg(F.sum("size").alias("_sum"))
     before = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
