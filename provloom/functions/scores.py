@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def number(c: Column) -> Column:
@@ -72,7 +73,7 @@ def f1(precision: Column, recall: Column) -> Column:
     return ratio(2 * precision * recall, precision + recall)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def format_g3(values: pd.Series) -> pd.Series:
     """Three significant digits as in notes; the JVM's %g differs, so this one runs in Arrow batches."""
     return values.map(lambda v: None if pd.isna(v) else f"{v:.3g}")

@@ -75,7 +75,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     ids = nodes.select("id").distinct()
     known = edges.select(F.col("subject_id").alias("a"), F.col("object_id").alias("b")).where("a <> b").distinct()
-    known = known.join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi")
+    known = known.join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b")
     left, maps = written(known, "cc-edges"), []
     while not left.isEmpty():
         both = left.unionAll(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
