@@ -223,7 +223,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     members = groups.join(nodes.select(F.col("key").alias("node"), "ref", "n_shingles"), "node")
     parts = members.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("long").alias("parts"))
     members = members.join(parts, "component").select(F.col("node").alias("key"), F.col("component").alias("group"), F.pmod(F.xxhash64("node"), F.col("parts")).cast("long").alias("part"), "parts", "ref")
-    sets = _sets(docs.select("ref", "text").join(cut(members, "minhash-members"), "ref"))
+    # Merged at every size: a side that grows with the corpus isn't broadcast while it happens to be small.
+    sets = _sets(docs.select("ref", "text").join(cut(members, "minhash-members").hint("merge"), "ref"))
     pairs = sets.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select("group", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "key", "set")
     dealt = pairs.repartition("group", "x", "y").sortWithinPartitions("group", "x", "y", "part", "key")
     linked = components(_verify(dealt, percent))
