@@ -24,10 +24,11 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, that of the smallest id, of each group of near duplicates (five words, 0.8)."""
-    kept = cut(minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")), "pipeline-kept")
-    ids = kept.groupBy("_id").agg(F.count(F.lit(1)).alias("_n"))
+    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id"))
+    ids = cut(kept.groupBy("_id").agg(F.count(F.lit(1)).alias("_n")), "pipeline-ids")
     repeats = ids.where("_n > 1").select("_id")
-    once = docs.join(ids.where("_n = 1").select("_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    # Merged at every size: ids grow with the corpus and aren't broadcast.
+    once = docs.join(ids.where("_n = 1").select("_id").hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     # Rows that repeat an id: one of each.
     return once.unionByName(docs.join(repeats, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id"])) if not repeats.isEmpty() else once
 
