@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -17,7 +20,9 @@ from pyspark.sql import types as T
 #: Texts of a batch that an operator holds as Python objects at one time.
 SLICE_ROWS = 256
 #: Bytes of such texts; a longer text stands alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Rows of a batch between the JVM and a worker: texts can be long, and each side holds whole batches.
+BATCH_ROWS = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +52,21 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Makes the session's Arrow batches no larger than ``BATCH_ROWS``."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def hand_back() -> None:
+    """Returns memory that a task has freed to the system, as workers live on for later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """Batches in parts of at most ``rows`` rows and about ``SLICE_BYTES`` of strings."""
     for batch in batches:
@@ -58,6 +78,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             end = min(max(end, at + 1), at + rows, batch.num_rows)
             yield batch.slice(at, end - at)
             at = end
+    hand_back()
 
 
 def arrow_schema(schema: T.StructType) -> pa.Schema:
@@ -68,6 +89,7 @@ def arrow_schema(schema: T.StructType) -> pa.Schema:
 
 def with_text(df: DataFrame, keep: list[str], text: str) -> tuple[DataFrame, int]:
     """The columns ``keep`` as _k0, _k1, ... and the text, once; and the place of the text."""
+    bounded_batches(df.sparkSession)
     kept = [df[c].alias(f"_k{i}") for i, c in enumerate(keep)]
     if text in keep and df.schema[text].dataType == T.StringType():
         return df.select(*kept), keep.index(text)

@@ -21,12 +21,12 @@ from .common import SLICE_ROWS, arrow_schema, mix64, slices, with_text
 ORDER = 5
 #: Bounds of the labelled sample that the models are fitted on: documents of each language, and
 #: characters of each language (a document that doesn't fit any more is left out).
-TRAIN_DOCS, TRAIN_CHARS = 300, 2_000_000
+TRAIN_DOCS, TRAIN_CHARS = 200, 1_000_000
 #: A text is rejected if its cross-entropy is above the mean of its language by this share of the mean
 #: (texts of two languages, names, code) and by so many standard deviations more.
 REJECT_SLACK, REJECT_AT = 1.0, 8.0
 #: Words whose scores a worker remembers; the table is emptied beyond that, which changes no result.
-REMEMBERED, LONGEST_REMEMBERED = 300_000, 32
+REMEMBERED, LONGEST_REMEMBERED = 150_000, 32
 
 _words = regex.compile(r"\p{L}+").findall
 _START, _END = 1, 2
@@ -139,9 +139,9 @@ def fit(samples: dict[str, list[str]]) -> LanguageModels:
             c = np.searchsorted(contexts, context_of)
             p[:, j] = mine / np.maximum(total[c], 1) + lam[c, j] * lower[:, j]
         model.keys.append(keys)
-        model.probability.append(np.maximum(p, 1e-12))
+        model.probability.append(np.maximum(p, 1e-12).astype(np.float32))
         model.contexts.append(contexts)
-        model.back_off.append(lam)
+        model.back_off.append(lam.astype(np.float32))
     for j, l in enumerate(names):
         rates, spread, sizes = [], [], []
         for t in parts[l][1]:
@@ -165,8 +165,8 @@ class Identifier:
     def __init__(self, model: LanguageModels):
         self.model = model
         self.place: dict[str, int] = {}
-        self.scores = np.empty((0, len(model.languages)))
-        self.sizes = np.empty(0)
+        self.scores = np.empty((0, len(model.languages)), np.float32)
+        self.sizes = np.empty(0, np.float32)
 
     def learn(self, words: set[str]) -> None:
         """Scores words not seen yet, which then stand in the table."""
@@ -175,8 +175,8 @@ class Identifier:
             self.place, self.scores, self.sizes, new = {}, self.scores[:0], self.sizes[:0], list(words)
         if new:
             self.place.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new))))
-            self.scores = np.concatenate((self.scores, self.model.score(new)))
-            self.sizes = np.concatenate((self.sizes, [len(w) + 1 for w in new]))
+            self.scores = np.concatenate((self.scores, self.model.score(new).astype(np.float32)))
+            self.sizes = np.concatenate((self.sizes, np.array([len(w) + 1 for w in new], np.float32)))
 
     def identify(self, texts: list[str | None]) -> list[tuple[str, float, float | None, bool]]:
         """Language, score, cross-entropy per character and whether the text is rejected."""
@@ -190,8 +190,8 @@ class Identifier:
                 out.append(("und", 0.0, None, True))
                 continue
             at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-            n = self.sizes[at].sum()
-            rate = self.scores[at].sum(axis=0) / n
+            n = self.sizes[at].sum(dtype=np.float64)
+            rate = self.scores[at].sum(axis=0, dtype=np.float64) / n
             best = int(np.argmin(rate))  # ties: the first language by name
             mean, per_char, per_text = self.model.calibration[best]
             rejected = bool(rate[best] - (1 + REJECT_SLACK) * mean > REJECT_AT * np.sqrt(per_char / n + per_text))

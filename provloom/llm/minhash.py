@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, cut, mix64, rolling, slices, word_hashes
+from .common import arrow_schema, bounded_batches, cut, mix64, rolling, slices, word_hashes
 from .components import components
 
 #: Words of a shingle; bins of a sketch; the chance that two sets at the threshold share no band.
@@ -208,6 +208,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Rows that repeat an id get their results each; a null id is a component's id only if it has no
     other.  An empty table gives none; other columns are not read.
     """
+    bounded_batches(df.sparkSession)
     text = df[text_col].cast("string")
     docs = df.select(df[id_col].alias("id"), F.coalesce(F.when(df[id_col].isNotNull(), F.xxhash64(df[id_col])), F.xxhash64(text)).alias("ref"), text.alias("text"))
     base = cut(_describe(docs, rows_for(percent)), "minhash-base")

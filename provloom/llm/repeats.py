@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _R, _Powers, arrow_schema, cut, mix64, slices
+from .common import _Powers, arrow_schema, bounded_batches, cut, mix64, slices
 
 SLICE = 512
 #: Bytes of text whose anchors make up about one bucket.
@@ -194,6 +194,7 @@ def repeated(
     ``look(documents with spans, buckets)`` takes the closer look and returns (doc, ref, start, size).
     Rows with a null id take no part: they are neither earlier nor later than any.
     """
+    bounded_batches(df.sparkSession)
     docs = df.select(df[id_col].cast("long").alias("doc"), F.hash(df[text_col].cast("string")).alias("ref"), df[text_col].cast("string").alias("text"))
     buckets = buckets_for(docs, "text")
     known = docs.where("doc is not null")
