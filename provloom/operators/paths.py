@@ -6,6 +6,8 @@ that is unset), so lineage stays short and a lost executor costs nothing.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -18,6 +20,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         folder = tempfile.mkdtemp(prefix="provloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(folder)
     path = f"{folder.rstrip('/')}/provloom/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
