@@ -23,14 +23,21 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that of the smallest id, of each group of near duplicates (five words, 0.8)."""
-    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id"))
-    ids = cut(kept.groupBy("_id").agg(F.count(F.lit(1)).alias("_n")), "pipeline-ids")
-    repeats = ids.where("_n > 1").select("_id")
+    """Keeps one document of each group of near duplicates (five words, 0.8): that of the smallest id, then digest of the text.
+
+    A row is known by its id and text, as ids can be null or stand for several texts.
+    """
+    ids = cut(minhash.kept_rows(docs).select(F.col("id").alias("_id"), F.col("digest").alias("_of"), "repeated"), "pipeline-ids")
+    repeats = ids.where("repeated")
+    rows = docs.withColumn("_digest", minhash.text_digest(F.col("text")))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_of"))
     # Merged at every size: ids grow with the corpus and aren't broadcast.
-    once = docs.join(ids.where("_n = 1").select("_id").hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    # Rows that repeat an id: one of each.
-    return once.unionByName(docs.join(repeats, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id"])) if not repeats.isEmpty() else once
+    once = rows.join(ids.where("not repeated").hint("merge"), same, "left_semi").select(docs.columns)
+    if repeats.isEmpty():
+        return once
+    # Rows that repeat an id and its text: the smallest of each by the other columns.
+    smallest = rows.join(repeats, same, "left_semi").groupBy("doc_id", "_digest").agg(F.min(F.struct(*docs.columns)).alias("_row"))
+    return once.unionByName(smallest.select("_row.*"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -136,17 +136,18 @@ def _longs(*names: str) -> list[T.StructField]:
 
 
 def _describe(df: DataFrame, rows: int) -> DataFrame:
-    """Of each row (id, ref, text): id, ref, size, key and band keys of the text's set."""
-    schema = T.StructType([df.schema["id"], *_longs("ref", "n_shingles", "key", "key2"), T.StructField("bands", T.ArrayType(T.LongType()))])
+    """Of each row (columns of which the last is the text): the others, and size, key and band keys of the text's set."""
+    n = len(df.columns) - 1
+    schema = T.StructType([*df.schema.fields[:n], *_longs("n_shingles", "key", "key2"), T.StructField("bands", T.ArrayType(T.LongType()))])
     out = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            sets = shingle_sets(part.column(2).to_pylist())
+            sets = shingle_sets(part.column(n).to_pylist())
             bands = band_keys(sketches(sets), rows).tolist()
             keys = [_key(s) if len(s) else (None, None) for s in sets]
             made = [[len(s) for s in sets], [k for k, _ in keys], [k for _, k in keys], [b if len(s) else [] for b, s in zip(bands, sets)]]
-            yield pa.RecordBatch.from_arrays([part.column(i).cast(out.field(i).type) for i in range(2)] + [pa.array(m, out.field(2 + i).type) for i, m in enumerate(made)], schema=out)
+            yield pa.RecordBatch.from_arrays([part.column(i).cast(out.field(i).type) for i in range(n)] + [pa.array(m, out.field(n + i).type) for i, m in enumerate(made)], schema=out)
 
     return df.mapInArrow(run, schema)
 
@@ -195,25 +196,16 @@ def _verify(df: DataFrame, percent: int) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
-    """Groups of documents that are linked by 100 * intersection >= ``percent`` * union of their sets.
+def text_digest(text: Column) -> Column:
+    """Stands for a text where rows are told apart by it; a null text's is empty."""
+    return F.coalesce(F.md5(text.cast("string")), F.lit(""))
 
-    Returns ``id_col``, n_shingles, component_id (the smallest id that links reach, itself included)
-    and kept (the id is that smallest one), one row per input row.  Exact copies are one set, found
-    by its key, and aren't compared.  Links are confirmed on whole sets (of 64-bit hashes of
-    shingles); candidates share a band, which two sets at the threshold miss with probability
-    ``MISS`` at most, and closer ones less.
 
-    Null texts and texts without words have an empty set and stay alone.  Whole texts are used.
-    Rows that repeat an id get their results each; a null id is a component's id only if it has no
-    other.  An empty table gives none; other columns are not read.
-    """
-    bounded_batches(df.sparkSession)
-    text = df[text_col].cast("string")
-    docs = df.select(df[id_col].alias("id"), F.coalesce(F.when(df[id_col].isNotNull(), F.xxhash64(df[id_col])), F.xxhash64(text)).alias("ref"), text.alias("text"))
+def _components(docs: DataFrame, percent: int, first: Column) -> tuple[DataFrame, DataFrame]:
+    """What the rows (id, ref, ..., text) are described by; and of each set its key, ``first`` over its rows and its component."""
     base = cut(_describe(docs, rows_for(percent)), "minhash-base")
     nodes = cut(
-        base.where("key is not null").groupBy("key", "key2").agg(F.min("id").alias("first"), F.min("ref").alias("ref"), F.min("n_shingles").alias("n_shingles"), F.any_value("bands").alias("bands")),
+        base.where("key is not null").groupBy("key", "key2").agg(first.alias("first"), F.min("ref").alias("ref"), F.min("n_shingles").alias("n_shingles"), F.any_value("bands").alias("bands")),
         "minhash-sets",
     )
     bands = nodes.select("key", F.explode("bands").alias("band"))
@@ -229,9 +221,47 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pairs = sets.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select("group", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "key", "set")
     dealt = pairs.repartition("group", "x", "y").sortWithinPartitions("group", "x", "y", "part", "key")
     linked = components(_verify(dealt, percent))
-    joined = nodes.join(linked.select(F.col("node").alias("key"), "component"), "key", "left").select("key", "first", F.coalesce("component", "key").alias("component"))
+    return base, nodes.join(linked.select(F.col("node").alias("key"), "component"), "key", "left").select("key", "first", F.coalesce("component", "key").alias("component"))
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+    """Groups of documents that are linked by 100 * intersection >= ``percent`` * union of their sets.
+
+    Returns ``id_col``, n_shingles, component_id (the smallest id that links reach, itself included)
+    and kept (the id is that smallest one), one row per input row.  Exact copies are one set, found
+    by its key, and aren't compared.  Links are confirmed on whole sets (of 64-bit hashes of
+    shingles); candidates share a band, which two sets at the threshold miss with probability
+    ``MISS`` at most, and closer ones less.
+
+    Null texts and texts without words have an empty set and stay alone.  Whole texts are used.
+    Rows that repeat an id get their results each; a null id is a component's id only if it has no
+    other.  An empty table gives none; other columns are not read.
+    """
+    bounded_batches(df.sparkSession)
+    text = df[text_col].cast("string")
+    docs = df.select(df[id_col].alias("id"), F.coalesce(F.when(df[id_col].isNotNull(), F.xxhash64(df[id_col])), F.xxhash64(text)).alias("ref"), text.alias("text"))
+    base, joined = _components(docs, percent, F.min("id"))
     smallest = joined.groupBy("component").agg(F.min("first").alias("component_id"))
     of_key = cut(joined.join(smallest, "component").select("key", "component_id"), "minhash-components")
     out = base.select("id", "n_shingles", "key").join(of_key, "key", "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+
+
+def kept_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+    """One row of each component of ``near_duplicates``, as id, digest (``text_digest``) and repeated.
+
+    It is the row of the smallest id, a null one last, then of the smallest digest; so rows are told
+    apart where an id is null or stands for several texts.  ``repeated``: other rows have the same id
+    and text.  Rows with an empty set stay alone and are all here, not ``repeated``.
+    """
+    bounded_batches(df.sparkSession)
+    text = df[text_col].cast("string")
+    ref = F.coalesce(F.when(df[id_col].isNotNull(), F.xxhash64(df[id_col])), F.xxhash64(text))
+    docs = df.select(df[id_col].alias("id"), ref.alias("ref"), text_digest(text).alias("digest"), text.alias("text"))
+    base, joined = _components(docs, percent, F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")))
+    chosen = joined.groupBy("component").agg(F.min("first").alias("first")).select("first.id", "first.digest")
+    counts = base.where("key is not null").groupBy(F.col("id").alias("_id"), F.col("digest").alias("_digest")).agg(F.count(F.lit(1)).alias("n"))
+    # Merged at every size, as a side that grows with the corpus.
+    found = chosen.join(counts.hint("merge"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")))
+    return found.select("id", "digest", (F.col("n") > 1).alias("repeated")).unionByName(base.where("key is null").select("id", "digest", F.lit(False).alias("repeated")))

@@ -74,3 +74,26 @@ def test_nulls_and_empty_tables(spark, documents, sf_dir):
     for df in (odd, documents.limit(0)):
         for _, stage in pipeline.STAGES:
             assert stage(spark, df, sf_dir).count() <= df.count()
+
+
+def test_near_duplicate_stage_keeps_rows_not_ids(spark, documents, sf_dir):
+    say = lambda w: " ".join(f"{w}{i}" for i in range(40))
+    rows = [
+        (None, say("a")), (None, say("b")), (None, say("c") + " end"),  # null ids: texts of their own, and a copy of (7, c)
+        (5, say("d")), (5, say("e")), (5, say("f")), (3, say("f") + " end"),  # one id, three texts; the last is a copy of (3, f)
+        (7, say("c")), (9, say("g")), (9, say("g")), (8, say("h")), (8, say("h").upper()),  # repeated rows; one id, one set, two texts
+        (None, say("k")), (None, say("k")), (1, ""), (None, None),
+    ]
+    want = [(None, say("a")), (None, say("b")), (5, say("d")), (5, say("e")), (3, say("f") + " end"), (7, say("c")), (9, say("g")), (None, say("k")), (1, ""), (None, None)]
+    kept = set()
+    for parts in (1, 5):
+        made = [(i, t, "en", f"s{n}", n) for n, (i, t) in enumerate(rows)]
+        df = spark.createDataFrame(made[:: 1 if parts == 1 else -1], documents.schema).repartition(parts)
+        got = pipeline.drop_near_duplicates(spark, df, sf_dir)
+        assert got.columns == COLUMNS
+        found = sorted(map(tuple, got.collect()), key=repr)
+        kept.add(tuple(found))
+        pairs = [(i, t.lower() if i == 8 else t) for i, t, *_ in found]
+        assert sorted(pairs, key=repr) == sorted([*want, (8, say("h"))], key=repr)
+        assert {(i, s) for i, _, _, s, _ in found} >= {(9, "s8"), (None, "s12")}
+    assert len(kept) == 1  # whatever the order of the rows
