@@ -306,6 +306,16 @@ def taxon_search(spark: SparkSession, d: str) -> DataFrame:
     return resolve.search_taxa(spark.createDataFrame([(q,) for q in _TQ], "query string"), names, ranks)
 
 
+@query()
+def taxon_search_full(spark: SparkSession, d: str) -> DataFrame:
+    """As ``taxon_search``, with the names of all brands; held against brute force in tests."""
+    k = F.col("p_partkey") % 4
+    kind = F.when(k == 0, "scientific name").when(k == 1, "synonym").when(k == 2, "common name").otherwise("blast name")
+    names = table(spark, d, "part").select(F.col("p_size").alias("tax_id"), F.col("p_name").alias("name"), kind.alias("name_class"), F.col("p_partkey").alias("ord"))
+    ranks = spark.createDataFrame([], "tax_id int, rank string")
+    return resolve.search_taxa(spark.createDataFrame([(q,) for q in _TQ], "query string"), names, ranks)
+
+
 @query("SELECT p_name AS compound, min(p_size) AS size FROM part WHERE p_size IS NOT NULL AND p_type <> 'PROMO' GROUP BY p_name")
 def min_id_map(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part").select(F.col("p_name").alias("compound"), F.when(F.col("p_type") == "PROMO", "x").otherwise(F.col("p_size").cast("string")).alias("size"))
@@ -359,6 +369,15 @@ def microbe_chain(spark: SparkSession, d: str) -> DataFrame:
     return resolve.resolve_microbes(rows, names, spark.createDataFrame([], "tax_id int, rank string")).select("p_partkey", "id", "label")
 
 
+@query()
+def microbe_chain_full(spark: SparkSession, d: str) -> DataFrame:
+    """As ``microbe_chain``, with the names of all brands; held against brute force in tests."""
+    p = table(spark, d, "part")
+    names = p.select(F.col("p_size").alias("tax_id"), F.col("p_name").alias("name"), F.lit("scientific name").alias("name_class"), F.col("p_partkey").alias("ord"))
+    rows = p.select("p_partkey", F.col("p_name").alias("organism"), F.when(F.col("p_size") % 2 == 0, F.col("p_size")).alias("taxon_id"))
+    return resolve.resolve_microbes(rows, names, spark.createDataFrame([], "tax_id int, rank string")).select("p_partkey", "id", "label")
+
+
 @query("SELECT n_name AS pathway_id, CASE WHEN s_acctbal < 0 THEN 'no_id' WHEN s_suppkey % 3 = 0 THEN 'no_name' ELSE 'used' END AS skip, CASE WHEN n_regionkey = 1 THEN 0.92 ELSE 0.88 END AS confidence, count(*) AS n FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY ALL")
 def pathway_join(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "supplier")

@@ -2,7 +2,7 @@
 
 from collections import Counter
 
-from provloom.plans import graph_queries, registry  # noqa: F401
+from provloom.plans import graph_queries, registry, table_queries  # noqa: F401
 from provloom.plans import testgraph as tg
 
 
@@ -18,3 +18,33 @@ def test_hops_reach_five(spark, sf_dir):
     want = Counter(hops.values())
     assert max(want) > 2  # more than the two levels of shortest_path_hops
     assert {r.hops: r.n for r in registry.QUERIES["shortest_path_hops_full"](spark, sf_dir).collect()} == want
+
+
+def test_names_of_all_brands(spark, sf_dir):
+    parts = sorted((r.p_partkey, r.p_name, r.p_size) for r in registry.table(spark, sf_dir, "part").collect())
+    kinds = {0: (1, 1), 1: (2, 2), 2: (3, 5), 3: (3, 6)}  # by p_partkey % 4: tier of an exact hit, order of canonical names
+    canon = {}
+    for k, name, size in sorted(parts, key=lambda x: (kinds[x[0] % 4][1], x[0])):
+        canon.setdefault(size, name)
+    want = []
+    for q in table_queries._TQ:
+        found = {}
+        for k, name, size in parts:
+            if name.lower() == q:
+                found.setdefault(size, (kinds[k % 4][0], k, size))
+        for k, name, size in () if found else [p for p in parts if p[0] % 4 == 0 and q in p[1].lower()]:
+            found[size] = min(found.get(size, (4, k, size)), (4, k, size))
+        kind = ["exact_scientific", "exact_synonym", "exact_anyname", "substring"]
+        want += [(q, n, size, canon[size], "no rank", kind[tier - 1]) for n, (tier, _, size) in enumerate(sorted(found.values())[:5], 1)]
+    got = sorted(map(tuple, registry.QUERIES["taxon_search_full"](spark, sf_dir).collect()))
+    assert got == sorted(want)
+    assert got != sorted(map(tuple, registry.QUERIES["taxon_search"](spark, sf_dir).collect()))
+
+    first, named = {}, {}
+    for _, name, size in parts:
+        first.setdefault(name.lower(), size)
+        named.setdefault(size, name)
+    want = [(k, f"NCBITaxon:{size}", name) if size % 2 == 0 else (k, f"NCBITaxon:{first[name.lower()]}", named[first[name.lower()]]) for k, name, size in parts]
+    got = registry.QUERIES["microbe_chain_full"](spark, sf_dir).collect()
+    assert sorted(map(tuple, got)) == want
+    assert len(got) > registry.QUERIES["microbe_chain"](spark, sf_dir).count()
