@@ -2,6 +2,9 @@
 
 from collections import Counter
 
+import numpy as np
+import pytest
+
 from provloom.plans import graph_queries, registry, table_queries  # noqa: F401
 from provloom.plans import testgraph as tg
 
@@ -48,3 +51,18 @@ def test_names_of_all_brands(spark, sf_dir):
     got = registry.QUERIES["microbe_chain_full"](spark, sf_dir).collect()
     assert sorted(map(tuple, got)) == want
     assert len(got) > registry.QUERIES["microbe_chain"](spark, sf_dir).count()
+
+
+def test_rank_metrics_of_every_twentieth(spark, sf_dir):
+    rows = registry.table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding").orderBy("vec_id").collect()
+    v, ids, labels = np.array([r.embedding for r in rows], np.float64), np.array([r.vec_id for r in rows]), [r.label for r in rows]
+    norms, ranks = np.sqrt((v * v).sum(axis=1)), []
+    for i in np.flatnonzero(ids % 20 == 0):
+        sims = np.round(v @ v[i] / (norms * norms[i] + 1e-12), 9)
+        order = [j for j in np.lexsort((ids, -sims)) if j != i]
+        ranks += [n for n, j in enumerate(order, 1) if labels[j] == labels[i]][:1]
+    ranks = np.array(ranks)
+    want = [(1 / ranks).mean(), *((ranks <= k).mean() for k in (1, 3, 10)), ranks.mean()]
+    got = registry.QUERIES["rank_metrics_full"](spark, sf_dir).first()
+    assert len(ranks) > (ids % 100 == 0).sum()
+    assert list(got) == pytest.approx(want, abs=2e-6)
