@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
 import ctypes
 import gc
 import shutil
@@ -32,26 +33,59 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where it is unset (tests, a single machine) is a temporary folder made and put there.
+    Only where it is unset and all runs on one machine is a temporary folder made and put there.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="provloom-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+#: Paths of the tables that the ``scratch`` around has to delete.
+_passing: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("passing", default=None)
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage ends, a lost executor costs nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/provloom/{label}-{uuid.uuid4().hex}"
+    if (passing := _passing.get()) is not None:
+        passing.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Deletes the tables that ``cut`` writes inside, at the end, but for those written by the function given.
+
+    That function is ``cut`` for what is to outlive the block; an outer block may delete it in turn.
+    """
+    mine: list[str] = []
+    outer = _passing.get()
+    held = _passing.set(mine)
+
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        inner = _passing.set(outer)
+        try:
+            return cut(df, label)
+        finally:
+            _passing.reset(inner)
+
+    try:
+        yield keep
+    finally:
+        _passing.reset(held)
+        for path in mine:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Makes the session's Arrow batches no larger than ``BATCH_ROWS``."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

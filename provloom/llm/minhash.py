@@ -5,30 +5,34 @@ bin keeps its smallest value.  Rounds go on until all bins are full; from round
 SIZE + j sends every shingle to bin j, so 2 * SIZE rounds always fill them.  Two sets agree in a bin
 with probability equal to their similarity, and the number of agreements is concentrated.
 
-Sets that share a band of the sketch are candidates.  Groups of candidates that hang together are
-verified exactly, each set shipped once for every pair of blocks of its group: intersections of all
-pairs of a block pair come from an inverted index of shingles, and only the links of a spanning
-forest leave the task.
+Sets that share a band of the sketch are candidates.  Verification is exact and in two steps.  First
+every set of a band is compared with the band's smallest one, its centre: work that grows with the
+number of sets, spread in chunks however many sets have one centre.  Mostly that links all sets of a
+band.  Where candidates that hang together are in several parts still, these parts are compared by
+pairs of blocks, but no part with itself: intersections of all pairs of a block pair come from an
+inverted index of shingles, and only the links of a spanning forest leave the task.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, bounded_batches, cut, mix64, rolling, slices, word_hashes
+from .common import arrow_schema, bounded_batches, cut, mix64, rolling, scratch, slices, word_hashes
 from .components import components
 
 #: Words of a shingle; bins of a sketch; the chance that two sets at the threshold share no band.
 SHINGLE, SIZE, MISS = 5, 125, 1e-6
-#: Sets and shingles of a block of a group; larger groups are verified by pairs of blocks.
-BLOCK_SETS, BLOCK_SHINGLES = 2048, 1_500_000
+#: Sets that are compared with one centre in one task.
+CHUNK_SETS = 128
+#: Sets and shingles of a block of what the centres didn't link; parts of a group are compared by pairs of blocks.
+BLOCK_SETS, BLOCK_SHINGLES = 512, 500_000
 
 
 def shingle_sets(texts: list[str | None], width: int = SHINGLE) -> list[np.ndarray]:
@@ -153,47 +157,109 @@ def _describe(df: DataFrame, rows: int) -> DataFrame:
 
 
 def _sets(df: DataFrame) -> DataFrame:
-    """The set of each row (key, group, part, parts, text) whose text has the key."""
-    schema = T.StructType([*_longs("key", "group", "part", "parts"), T.StructField("set", T.BinaryType())])
+    """(node, set) of rows (key, key2, node, text), neighbouring rows of a node once, whose text has the 128-bit key."""
+    schema = T.StructType([*_longs("node"), T.StructField("set", T.BinaryType())])
     out = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for part in slices(batches):
-            sets = shingle_sets(part.column(4).to_pylist())
-            same = pa.array([_key(s)[0] == k for s, k in zip(sets, part.column(0).to_pylist())], pa.bool_())
-            columns = [part.column(i).cast(out.field(i).type) for i in range(4)] + [pa.array([s.tobytes() for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, schema=out).filter(same)
+            rows = []
+            for key, key2, node, text in zip(*(part.column(c).to_pylist() for c in ("key", "key2", "node", "text"))):
+                if node != last:
+                    found = shingle_sets([text])[0]
+                    if _key(found) == (key, key2):  # ids can repeat with other texts
+                        rows.append((node, found.tobytes()))
+                        last = node
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], out.field(i).type) for i in range(2)], schema=out)
 
-    return df.select("key", "group", "part", "parts", "text").mapInArrow(run, schema)
+    return df.select("key", "key2", "node", "text").mapInArrow(run, schema)
 
 
-def _verify(df: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of the forest of each task; rows of a task stand together, ordered by block and key."""
-    schema = T.StructType(_longs("a", "b"))
+def _dealt(sets: DataFrame, wanted: DataFrame, task: list[str], order: list[str]) -> DataFrame:
+    """Sets with their tasks; rows of a task stand together in order.
+
+    Merged at every size: a side that grows with the corpus isn't broadcast while it happens to be small.
+    """
+    return sets.join(wanted.hint("merge"), "node").repartition(*task).sortWithinPartitions(*task, *order)
+
+
+_LINK = T.StructType(_longs("a", "b"))
+
+
+def _star(dealt: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of a centre and the members dealt to it; the centre's row comes first in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, keys, sets, blocks = (), [], [], []
+        task, hub, last = None, np.empty(0, np.uint64), None
+        for part in slices(batches):
+            a, b = [], []
+            for center, chunk, node, raw in zip(*(part.column(c).to_pylist() for c in ("center", "chunk", "node", "set"))):
+                mine = np.frombuffer(raw, np.uint64)
+                if (center, chunk) != task:
+                    task, hub = (center, chunk), mine
+                elif node not in (center, last):  # a row that repeats comes in turn
+                    shared = int((hub[np.minimum(np.searchsorted(hub, mine), len(hub) - 1)] == mine).sum())
+                    if 100 * shared >= percent * (len(hub) + len(mine) - shared):
+                        a.append(center)
+                        b.append(node)
+                last = node
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return dealt.select("center", "chunk", "node", "set").mapInArrow(run, _LINK)
+
+
+def _verify(dealt: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of the forest of each task; rows of a task stand together, ordered by block and node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, nodes, sets, blocks = (), [], [], []
 
         def found() -> pa.RecordBatch:
             first = sum(b == task[1] for b in blocks) if task[1] != task[2] else 0
             some = len(sets) > 1 and (task[1] == task[2] or 0 < first < len(sets))
             pairs = links(sets, first, percent) if some else []
-            return pa.RecordBatch.from_arrays([pa.array([keys[p[i]] for p in pairs], pa.int64()) for i in range(2)], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([nodes[p[i]] for p in pairs], pa.int64()) for i in range(2)], names=["a", "b"])
 
         for part in slices(batches):
-            for group, x, y, block, key, raw in zip(*(part.column(c).to_pylist() for c in ("group", "x", "y", "part", "key", "set"))):
+            for group, x, y, block, node, raw in zip(*(part.column(c).to_pylist() for c in ("group", "x", "y", "block", "node", "set"))):
                 if (group, x, y) != task:
                     if task:
                         yield found()
-                    task, keys, sets, blocks = (group, x, y), [], [], []
-                if not keys or keys[-1] != key:  # repeated rows of an id come in turn
-                    keys.append(key)
+                    task, nodes, sets, blocks = (group, x, y), [], [], []
+                if not nodes or nodes[-1] != node:  # a row that repeats comes in turn
+                    nodes.append(node)
                     blocks.append(block)
                     sets.append(np.frombuffer(raw, np.uint64))
         if task:
             yield found()
 
-    return df.mapInArrow(run, schema)
+    return dealt.select("group", "x", "y", "block", "node", "set").mapInArrow(run, _LINK)
+
+
+def _blocks(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tasks (group, x, y) and which sets go to them (node, group, x, y, block), for what centres didn't link.
+
+    ``members``: (node, group, root, n_shingles).  A part of a group (sets of one root) has blocks of
+    its own if it fills one, small parts share blocks; two blocks of one part aren't compared.
+    """
+
+    def fill(n: str, shingles: str) -> Column:
+        return F.greatest(F.col(n) / BLOCK_SETS, F.col(shingles) / BLOCK_SHINGLES)
+
+    parts = members.groupBy("group", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
+    several = parts.groupBy("group").agg(F.count(F.lit(1)).alias("roots")).where("roots > 1").select("group")
+    parts = cut(parts.join(several, "group").withColumn("owner", F.when(fill("n", "s") >= 1, F.col("root"))), "minhash-parts")
+    owners = parts.groupBy("group", "owner").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).select("group", "owner", F.ceil(fill("n", "s")).cast("long").alias("salts"))
+    in_order = Window.partitionBy("group").orderBy("owner", "salt")
+    blocks = cut(owners.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).withColumn("block", F.row_number().over(in_order)), "minhash-blocks")
+    x, y = (blocks.select("group", F.col("owner").alias(f"owner_{c}"), F.col("block").alias(c)) for c in "xy")
+    tasks = x.join(y, "group").where("x <= y and (owner_x <> owner_y or owner_x is null or owner_y is null)").select("group", "x", "y")
+    placed = members.join(parts.select("group", "root", "owner"), ["group", "root"]).alias("m")
+    same = (F.col("m.group") == F.col("b.group")) & F.col("m.owner").eqNullSafe(F.col("b.owner")) & (F.pmod(F.xxhash64("m.node"), F.col("b.salts")) == F.col("b.salt"))
+    placed = placed.join(blocks.alias("b"), same).select("m.node", "m.group", "b.block")
+    goes = tasks.withColumn("block", F.explode(F.array_distinct(F.array("x", "y"))))
+    return tasks, placed.join(goes, ["group", "block"])
 
 
 def text_digest(text: Column) -> Column:
@@ -201,27 +267,34 @@ def text_digest(text: Column) -> Column:
     return F.coalesce(F.md5(text.cast("string")), F.lit(""))
 
 
-def _components(docs: DataFrame, percent: int, first: Column) -> tuple[DataFrame, DataFrame]:
-    """What the rows (id, ref, ..., text) are described by; and of each set its key, ``first`` over its rows and its component."""
-    base = cut(_describe(docs, rows_for(percent)), "minhash-base")
-    nodes = cut(
-        base.where("key is not null").groupBy("key", "key2").agg(first.alias("first"), F.min("ref").alias("ref"), F.min("n_shingles").alias("n_shingles"), F.any_value("bands").alias("bands")),
-        "minhash-sets",
-    )
-    bands = nodes.select("key", F.explode("bands").alias("band"))
-    # A bucket hangs together through its smallest key, whatever its size.
-    buckets = bands.groupBy("band").agg(F.min("key").alias("center"), F.max("key").alias("last")).where("center < last").select("band", "center")
-    candidates = bands.join(buckets, "band").where("key <> center").select(F.col("key").alias("a"), F.col("center").alias("b"))
-    groups = cut(components(candidates), "minhash-groups")
-    members = groups.join(nodes.select(F.col("key").alias("node"), "ref", "n_shingles"), "node")
-    parts = members.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("long").alias("parts"))
-    members = members.join(parts, "component").select(F.col("node").alias("key"), F.col("component").alias("group"), F.pmod(F.xxhash64("node"), F.col("parts")).cast("long").alias("part"), "parts", "ref")
-    # Merged at every size: a side that grows with the corpus isn't broadcast while it happens to be small.
-    sets = _sets(docs.select("ref", "text").join(cut(members, "minhash-members").hint("merge"), "ref"))
-    pairs = sets.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select("group", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "key", "set")
-    dealt = pairs.repartition("group", "x", "y").sortWithinPartitions("group", "x", "y", "part", "key")
-    linked = components(_verify(dealt, percent))
-    return base, nodes.join(linked.select(F.col("node").alias("key"), "component"), "key", "left").select("key", "first", F.coalesce("component", "key").alias("component"))
+def _components(docs: DataFrame, percent: int, first: Column, keep: Callable[[DataFrame, str], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """What the rows (id, ref, ..., text) are described by; and of each set its keys, ``first`` over its rows and its component.
+
+    Sets are numbered, and known by their numbers, as two of them can agree in half of their key.
+    """
+    base = keep(_describe(docs, rows_for(percent)), "minhash-base")
+    sets = base.where("key is not null").groupBy("key", "key2").agg(first.alias("first"), F.min("ref").alias("ref"), F.min("n_shingles").alias("n_shingles"), F.any_value("bands").alias("bands"))
+    nodes = cut(sets.withColumn("node", F.monotonically_increasing_id()), "minhash-sets")
+    bands = nodes.select("node", F.explode("bands").alias("band"))
+    # A bucket hangs together through its smallest node, whatever its size.
+    buckets = bands.groupBy("band").agg(F.min("node").alias("center"), F.max("node").alias("last")).where("center < last").select("band", "center")
+    pairs = cut(bands.join(buckets, "band").where("node <> center").select("center", "node").distinct(), "minhash-pairs")
+    groups = components(pairs.select(F.col("center").alias("a"), F.col("node").alias("b")))
+    known = groups.select("node").join(nodes.select("node", "key", "key2", "ref"), "node")
+    shipped = cut(_sets(docs.select("ref", "text").join(known.hint("merge"), "ref")), "minhash-shipped")
+
+    chunks = pairs.groupBy("center").agg(F.ceil(F.count(F.lit(1)) / CHUNK_SETS).cast("long").alias("chunks"))
+    hubs = chunks.select(F.col("center").alias("node"), "center", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("place"))
+    around = pairs.join(chunks, "center").select("node", "center", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk"), F.lit(1).alias("place"))
+    linked = cut(_star(_dealt(shipped, hubs.unionByName(around), ["center", "chunk"], ["place", "node"]), percent), "minhash-star")
+
+    roots = components(linked).select("node", F.col("component").alias("root"))
+    members = groups.withColumnRenamed("component", "group").join(roots, "node", "left").join(nodes.select("node", "n_shingles"), "node").select("node", "group", F.coalesce("root", "node").alias("root"), "n_shingles")
+    tasks, wanted = _blocks(cut(members, "minhash-members"))
+    if not tasks.isEmpty():
+        linked = linked.unionAll(cut(_verify(_dealt(shipped, wanted, ["group", "x", "y"], ["block", "node"]), percent), "minhash-links"))
+        roots = components(linked).select("node", F.col("component").alias("root"))
+    return base, nodes.join(roots, "node", "left").select("key", "key2", "first", F.coalesce("root", "node").alias("component"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
@@ -240,12 +313,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     bounded_batches(df.sparkSession)
     text = df[text_col].cast("string")
     docs = df.select(df[id_col].alias("id"), F.coalesce(F.when(df[id_col].isNotNull(), F.xxhash64(df[id_col])), F.xxhash64(text)).alias("ref"), text.alias("text"))
-    base, joined = _components(docs, percent, F.min("id"))
-    smallest = joined.groupBy("component").agg(F.min("first").alias("component_id"))
-    of_key = cut(joined.join(smallest, "component").select("key", "component_id"), "minhash-components")
-    out = base.select("id", "n_shingles", "key").join(of_key, "key", "left")
+    with scratch(df.sparkSession) as keep:
+        base, joined = _components(docs, percent, F.min("id"), keep)
+        smallest = joined.groupBy("component").agg(F.min("first").alias("component_id"))
+        of_key = keep(joined.join(smallest, "component").select("key", "key2", "component_id"), "minhash-components")
+    out = base.select("id", "n_shingles", "key", "key2").join(of_key, ["key", "key2"], "left")
     component = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
 def kept_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
@@ -259,9 +333,11 @@ def kept_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     text = df[text_col].cast("string")
     ref = F.coalesce(F.when(df[id_col].isNotNull(), F.xxhash64(df[id_col])), F.xxhash64(text))
     docs = df.select(df[id_col].alias("id"), ref.alias("ref"), text_digest(text).alias("digest"), text.alias("text"))
-    base, joined = _components(docs, percent, F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")))
-    chosen = joined.groupBy("component").agg(F.min("first").alias("first")).select("first.id", "first.digest")
-    counts = base.where("key is not null").groupBy(F.col("id").alias("_id"), F.col("digest").alias("_digest")).agg(F.count(F.lit(1)).alias("n"))
-    # Merged at every size, as a side that grows with the corpus.
-    found = chosen.join(counts.hint("merge"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")))
-    return found.select("id", "digest", (F.col("n") > 1).alias("repeated")).unionByName(base.where("key is null").select("id", "digest", F.lit(False).alias("repeated")))
+    with scratch(df.sparkSession) as keep:
+        base, joined = _components(docs, percent, F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")), cut)
+        chosen = joined.groupBy("component").agg(F.min("first").alias("first")).select("first.id", "first.digest")
+        counts = base.where("key is not null").groupBy(F.col("id").alias("_id"), F.col("digest").alias("_digest")).agg(F.count(F.lit(1)).alias("n"))
+        # Merged at every size, as a side that grows with the corpus.
+        found = chosen.join(counts.hint("merge"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")))
+        rows = found.select("id", "digest", (F.col("n") > 1).alias("repeated")).unionByName(base.where("key is null").select("id", "digest", F.lit(False).alias("repeated")))
+        return keep(rows, "minhash-kept")
