@@ -1,19 +1,22 @@
 """Near-duplicate embeddings by randomised-rotation binary codes (operator 10).
 
-A vector of length 1 is rotated at random and each coordinate keeps its sign.  Beside the code
-stands a correction factor, the inner product of the vector with its quantised self; with it the
-inner product of a code and another vector is estimated without bias, and how far the estimate can
-be off is known from the factor.  Pairs whose upper bound is below the threshold are dismissed, all
-others are computed exactly, in double precision.
+A vector of length 1 is rotated at random and each coordinate keeps its sign: its code.  Beside the
+code stands a correction factor, the inner product of the vector with its quantised self.  The other
+side of a comparison is rotated too and rounded to 4 bits a coordinate, so that its inner product
+with a code is four counts of common bits; divided by the factor this estimates the inner product of
+the two vectors without bias, and how far it can be off is known from the factor.  Codes and factors
+are made once and stored.  Pairs whose upper bound is below the threshold are dismissed, all others
+are computed exactly, in double precision.
 
 Which vectors are compared at all: bits of further rotations make band keys (as many bits as the
 table has, in powers of two); vectors that share one and whose codes differ in few enough bits are
 neighbours; neighbours that hang together make a group, and pairs are judged within groups, by
-pairs of blocks if a group is large.
+pairs of blocks if a group is large (every link is counted, so every pair of a group is judged).
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 from collections.abc import Iterator
@@ -25,15 +28,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, cut, mix64
+from .common import arrow_schema, cut, mix64, scratch
 from .components import components
 from .repeats import _BLOCK, by_bucket, runs
 
 CODE_BITS = 128
 #: Standard deviations of a confidence bound, and the chance that a pair at the threshold shares no band.
 SIGMAS, MISS = 6.0, 1e-6
-#: Vectors of a block of a group; larger groups are judged by pairs of blocks.
-BLOCK_ROWS = 2048
+#: Vectors of a block of a group; larger groups are judged by pairs of blocks.  Groups that are not much
+#: larger than a block are cut finer, into up to ``FINE`` blocks of ``FINE_ROWS`` or more, to spread them.
+BLOCK_ROWS, FINE, FINE_ROWS = 2048, 8, 128
 BUCKET_ROWS = 100_000
 SEED = 20_011
 
@@ -53,6 +57,12 @@ def rotation(dims: int, size: int, number: int) -> np.ndarray:
     return np.concatenate(parts, axis=1)[:, :size]
 
 
+@functools.cache
+def whole_rotation(dims: int, width: int) -> np.ndarray:
+    """The first ``dims`` rows of a random rotation of ``width`` dimensions."""
+    return np.linalg.qr(np.random.default_rng([SEED, dims, width]).standard_normal((width, width)))[0][:dims]
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     """Rows at length 1; rows are finite and not all 0."""
     x = x.astype(np.float64)
@@ -64,6 +74,32 @@ def packed(signs: np.ndarray) -> np.ndarray:
     return np.packbits(signs, axis=1).view(np.uint64)
 
 
+def width_for(dims: int) -> int:
+    """Bits of the code of a vector of ``dims`` dimensions."""
+    return 64 * -(-max(CODE_BITS, dims) // 64)
+
+
+def encode(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes (rows of 64-bit words) and correction factors of unit vectors."""
+    width = width_for(x.shape[1])
+    turned = x @ whole_rotation(x.shape[1], width)
+    return packed(turned > 0), np.abs(turned).sum(axis=1) / math.sqrt(width)
+
+
+def planes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rotated unit vectors at 4 bits a coordinate: bit planes (4 x rows x words), lowest value, step and sum of each."""
+    turned = x @ whole_rotation(x.shape[1], width_for(x.shape[1]))
+    low = turned.min(axis=1)
+    step = np.maximum((turned.max(axis=1) - low) / 15, 1e-300)
+    level = np.rint((turned - low[:, None]) / step[:, None]).astype(np.uint8)
+    return np.stack([packed(level >> k & 1) for k in range(4)]), low, step, low * turned.shape[1] + step * level.sum(axis=1)
+
+
+def bound(factor: np.ndarray, width: int) -> np.ndarray:
+    """How far off an estimate from a code with this factor is, at ``SIGMAS`` standard deviations, but for the rounding."""
+    return SIGMAS * np.sqrt(np.maximum(0, 1 - factor**2)) / factor / math.sqrt(width - 1)
+
+
 def bands_for(n: int, threshold: float) -> tuple[int, int]:
     """Bits of a band and number of bands for n vectors."""
     bits = max(8, math.ceil(math.log2(max(n, 2))))
@@ -111,6 +147,26 @@ def _by_size(raws: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield at, np.frombuffer(b"".join([raws[i] for i in at]), np.float64).reshape(len(at), -1)
 
 
+def _coded(nodes: DataFrame) -> DataFrame:
+    """Adds the code and the correction factor to rows (node, first, copies, vec)."""
+    schema = T.StructType([*nodes.schema.fields, T.StructField("code", T.BinaryType()), T.StructField("factor", T.DoubleType())])
+    out, at_vec = arrow_schema(schema), nodes.columns.index("vec")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                codes, factors = [b""] * part.num_rows, np.empty(part.num_rows)
+                for rows, x in _by_size(part.column(at_vec).to_pylist()):
+                    code, factors[rows] = encode(unit(x))
+                    for i, c in zip(rows.tolist(), code):
+                        codes[i] = c.tobytes()
+                columns = [part.column(i).cast(out.field(i).type) for i in range(part.num_columns)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(codes, pa.binary()), pa.array(factors)], schema=out)
+
+    return nodes.mapInArrow(run, schema)
+
+
 def _entries(nodes: DataFrame, bits: int, bands: int, buckets: int) -> DataFrame:
     """(bucket, block) with an entry for each vector and band."""
     out = arrow_schema(_BLOCK)
@@ -119,11 +175,11 @@ def _entries(nodes: DataFrame, bits: int, bands: int, buckets: int) -> DataFrame
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                keys = part.column(0).to_numpy(zero_copy_only=False)
+                keys, codes = part.column(0).to_numpy(zero_copy_only=False), part.column(2).to_pylist()
                 made = []
                 for rows, x in _by_size(part.column(1).to_pylist()):
                     x, dims = unit(x), x.shape[1]
-                    code = packed(x @ rotation(dims, CODE_BITS, 0) > 0)
+                    code = np.frombuffer(b"".join([codes[i][: CODE_BITS // 8] for i in rows]), np.uint64).reshape(len(rows), -1)
                     signs = (x @ rotation(dims, bits * bands, 1) > 0).reshape(len(x), bands, bits)
                     h = np.zeros((len(x), bands), np.uint64)
                     for b in range(bits):
@@ -141,7 +197,7 @@ def _entries(nodes: DataFrame, bits: int, bands: int, buckets: int) -> DataFrame
                 edges = np.flatnonzero(runs(bucket)).tolist()
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[edges]), pa.array([entries[s:e].tobytes() for s, e in zip(edges, [*edges[1:], len(entries)])], pa.binary())], schema=out)
 
-    return nodes.select("key", "vec").mapInArrow(run, _BLOCK)
+    return nodes.select("node", "vec", "code").mapInArrow(run, _BLOCK)
 
 
 def neighbours(codes: np.ndarray, most: int) -> list[tuple[int, int]]:
@@ -172,7 +228,28 @@ def neighbours(codes: np.ndarray, most: int) -> list[tuple[int, int]]:
     return found
 
 
+def neighbours_of_many(codes: np.ndarray, most: int) -> np.ndarray:
+    """As ``neighbours``, for buckets of one size at once (buckets x rows x words): rows of (bucket, i, j).
+
+    Of pairs that others already join, only those of different clusters so far are given.
+    """
+    n, size, _ = codes.shape
+    cluster = np.broadcast_to(np.arange(size), (n, size)).copy()
+    found = []
+    for i in range(size - 1):
+        for j in range(i + 1, size):
+            near = np.bitwise_count(codes[:, i] ^ codes[:, j]).sum(axis=1) <= most
+            at = np.flatnonzero(near & (cluster[:, i] != cluster[:, j]))
+            if len(at):
+                mine = cluster[at]
+                cluster[at] = np.where(mine == mine[:, j : j + 1], mine[:, i : i + 1], mine)
+                found.append(np.stack((at, np.full(len(at), i), np.full(len(at), j)), axis=1))
+    return np.concatenate(found) if found else np.empty((0, 3), np.int64)
+
+
 _PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+#: Buckets up to this size are compared many at once.
+_SMALL = 24
 
 
 def _neighbours(blocks: DataFrame, most: int) -> DataFrame:
@@ -182,33 +259,41 @@ def _neighbours(blocks: DataFrame, most: int) -> DataFrame:
             rows = rows[np.argsort(rows["h"], kind="stable")]
             edges = np.flatnonzero(runs(rows["h"]))
             sizes = np.diff(np.append(edges, len(rows)))
-            two = edges[sizes == 2]
-            near = two[np.bitwise_count(rows["code"][two] ^ rows["code"][two + 1]).sum(axis=1) <= most]
-            a, b = [rows["node"][near]], [rows["node"][near + 1]]
-            for s, n in zip(edges[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+            a, b = [], []
+            for size in np.unique(sizes[(sizes > 1) & (sizes <= _SMALL)]).tolist():
+                begin = edges[sizes == size]
+                found = neighbours_of_many(rows["code"][begin[:, None] + np.arange(size)], most)
+                a.append(rows["node"][begin[found[:, 0]] + found[:, 1]])
+                b.append(rows["node"][begin[found[:, 0]] + found[:, 2]])
+            for s, n in zip(edges[sizes > _SMALL].tolist(), sizes[sizes > _SMALL].tolist()):
                 pairs = np.array(neighbours(np.ascontiguousarray(rows["code"][s : s + n]), most), np.int64).reshape(-1, 2)
                 a.append(rows["node"][s + pairs[:, 0]])
                 b.append(rows["node"][s + pairs[:, 1]])
-            a, b = np.concatenate(a), np.concatenate(b)
-            pair = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, 0])), pa.array(np.ascontiguousarray(pair[:, 1]))], names=["a", "b"])
+            if a:
+                a, b = np.concatenate(a), np.concatenate(b)
+                pair = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, 0])), pa.array(np.ascontiguousarray(pair[:, 1]))], names=["a", "b"])
 
     return blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, _PAIR)
 
 
-def judge(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def judge(x: np.ndarray, y: np.ndarray, code: np.ndarray, factor: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows of unit vectors with an inner product of ``threshold`` or more, computed exactly
-    where the bound from codes doesn't rule it out."""
-    turn = rotation(x.shape[1], CODE_BITS, 0) if x.shape[1] <= CODE_BITS else rotation(x.shape[1], x.shape[1], 0)
-    width = turn.shape[1]
-    signs = np.where(y @ turn > 0, 1.0, -1.0) / math.sqrt(width)
-    factor = (y @ turn * signs).sum(axis=1)  # of the quantised vector with the vector itself
-    bound = SIGMAS * np.sqrt(np.maximum(0, 1 - factor**2)) / factor / math.sqrt(max(1, width - 1))
-    turned = x @ turn
+    where the bound from the stored codes and factors of the rows of ``y`` doesn't rule it out."""
+    bits, low, step, total = planes(x)
+    width = 64 * code.shape[1]
+    ones, off = np.bitwise_count(code).sum(axis=1), bound(factor, width)
+    # Rounding is off by a twelfth of a squared step in each coordinate, on average.
+    rounding = SIGMAS * step / math.sqrt(12)
     found = []
-    for at in range(0, len(x), 256):
-        estimate = turned[at : at + 256] @ signs.T / factor
-        i, j = np.nonzero(estimate + bound >= threshold)
+    for at in range(0, len(x), 128):
+        part = slice(at, at + 128)
+        common = np.zeros((len(x[part]), len(y)), np.int32)
+        for k in range(4):
+            for w in range(code.shape[1]):
+                common += np.bitwise_count(bits[k, part, None, w] & code[None, :, w]).astype(np.int32) << k
+        inner = 2 * (low[part, None] * ones + step[part, None] * common) - total[part, None]
+        i, j = np.nonzero((inner / math.sqrt(width) + rounding[part, None]) / factor + off >= threshold)
         for k in range(0, len(i), 1 << 16):
             a, b = at + i[k : k + (1 << 16)], j[k : k + (1 << 16)]
             ok = (x[a] * y[b]).sum(axis=1) >= threshold
@@ -230,12 +315,13 @@ def _judge(dealt: DataFrame, threshold: float) -> DataFrame:
         def found() -> pa.RecordBatch:
             x = unit(np.frombuffer(b"".join([r[2] for r in rows]), np.float64).reshape(len(rows), -1))
             keys, copies = np.array([r[1] for r in rows]), np.array([r[3] for r in rows])
+            code, factor = np.frombuffer(b"".join([r[4] for r in rows]), np.uint64).reshape(len(rows), -1), np.array([r[5] for r in rows])
             first = sum(r[0] == task[1] for r in rows) if task[1] != task[2] else 0
             if first:
-                i, j = judge(x[:first], x[first:], threshold)
+                i, j = judge(x[:first], x[first:], code[first:], factor[first:], threshold)
                 j = j + first
             elif task[1] == task[2]:
-                i, j = judge(x, x, threshold)
+                i, j = judge(x, x, code, factor, threshold)
                 i, j = i[i < j], j[i < j]
             else:
                 i = j = np.empty(0, np.int64)
@@ -256,12 +342,12 @@ def _judge(dealt: DataFrame, threshold: float) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), b, n], names=["a", "b", "n"])
 
         for batch in batches:
-            for group, px, py, block, key, raw, copies in zip(*(c.to_pylist() for c in batch.columns)):
+            for group, px, py, block, key, raw, copies, code, factor in zip(*(c.to_pylist() for c in batch.columns)):
                 if (group, px, py) != task:
                     if rows:
                         yield found()
                     task, rows = (group, px, py), []
-                rows.append((block, key, raw, copies))
+                rows.append((block, key, raw, copies, code, factor))
         if rows:
             yield found()
 
@@ -282,26 +368,30 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: st
     columns are not read.
     """
     source = df.select(df[id_col].alias("id"), df[vector_col].alias("vec"))
-    base = cut(_describe(source, id_col, vector_col), "vectors-base")
-    nodes = cut(base.where("key is not null").groupBy("key", "key2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"), F.any_value("vec").alias("vec")), "vectors-nodes")
-    bits, bands = bands_for(nodes.count(), threshold)
-    buckets = max(8, math.ceil(2**bits * bands / BUCKET_ROWS))
-    groups = cut(components(_neighbours(_entries(nodes, bits, bands, buckets), most_bits(threshold))), "vectors-groups")
-    members = groups.withColumnRenamed("node", "key").join(nodes.select("key", "vec", "copies"), "key")
-    parts = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("long").alias("parts"))
-    dealt = (
-        members.join(parts, "component")
-        .withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("long"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        .select(F.col("component").alias("group"), F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "key", "vec", "copies")
-        .repartition("group", "x", "y")
-        .sortWithinPartitions("group", "x", "y", "part", "key")
-    )
-    judged = cut(_judge(dealt, threshold), "vectors-judged")
-    linked = components(judged.where("b is not null").select("a", "b"))
-    counts = judged.where("n is not null").groupBy("a").agg(F.sum("n").alias("n"))
-    joined = nodes.select("key", "first", "copies").join(linked.select(F.col("node").alias("key"), "component"), "key", "left").join(counts.withColumnRenamed("a", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    smallest = joined.groupBy("component").agg(F.min("first").alias("component_id"))
-    of_key = cut(joined.join(smallest, "component").select("key", "component_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "vectors-components")
+    with scratch(df.sparkSession) as keep:
+        base = keep(_describe(source, id_col, vector_col), "vectors-base")
+        distinct = base.where("key is not null").groupBy("key", "key2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"), F.any_value("vec").alias("vec"))
+        # Vectors are numbered, and known by their numbers, as two of them can agree in half of their key.
+        nodes = cut(_coded(distinct.withColumn("node", F.monotonically_increasing_id())), "vectors-nodes")
+        bits, bands = bands_for(nodes.count(), threshold)
+        buckets = max(8, math.ceil(2**bits * bands / BUCKET_ROWS))
+        groups = components(_neighbours(_entries(nodes, bits, bands, buckets), most_bits(threshold)))
+        members = groups.join(nodes.select("node", "vec", "copies", "code", "factor"), "node")
+        n = F.count(F.lit(1))
+        parts = groups.groupBy("component").agg(F.greatest(F.ceil(n / BLOCK_ROWS), F.least(F.ceil(n / FINE_ROWS), F.lit(FINE))).cast("long").alias("parts"))
+        dealt = (
+            members.join(parts, "component")
+            .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("long"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+            .select(F.col("component").alias("group"), F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "node", "vec", "copies", "code", "factor")
+            .repartition("group", "x", "y")
+            .sortWithinPartitions("group", "x", "y", "part", "node")
+        )
+        judged = cut(_judge(dealt, threshold), "vectors-judged")
+        linked = components(judged.where("b is not null").select("a", "b"))
+        counts = judged.where("n is not null").groupBy("a").agg(F.sum("n").alias("n"))
+        joined = nodes.select("node", "key", "key2", "first", "copies").join(linked, "node", "left").join(counts.withColumnRenamed("a", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        smallest = joined.groupBy("component").agg(F.min("first").alias("component_id"))
+        of_key = keep(joined.join(smallest, "component").select("key", "key2", "component_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "vectors-components")
     component = F.coalesce("component_id", "id")
-    return base.select("id", "key").join(of_key, "key", "left").select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    return base.select("id", "key", "key2").join(of_key, ["key", "key2"], "left").select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))

@@ -1,6 +1,7 @@
 """Operators on nulls, empty and very long texts, ties, repeated rows, empty tables and clashing names."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -399,12 +400,38 @@ def test_vectors(spark, monkeypatch, block):
 
 def test_estimates_are_unbiased():
     rng = np.random.default_rng(0)
-    x, y = vectors.unit(rng.standard_normal((300, 64))), vectors.unit(rng.standard_normal((300, 64)))
-    y = vectors.unit(x + 0.2 * y)
-    turn = vectors.rotation(64, vectors.CODE_BITS, 0)
-    assert np.allclose(turn @ turn.T, np.eye(64))
-    signs = np.where(y @ turn > 0, 1.0, -1.0) / np.sqrt(turn.shape[1])
-    factor = (y @ turn * signs).sum(axis=1)
-    error = (x @ turn * signs).sum(axis=1) / factor - (x * y).sum(axis=1)
-    bound = vectors.SIGMAS * np.sqrt(1 - factor**2) / factor / np.sqrt(turn.shape[1] - 1)
-    assert abs(error.mean()) < 0.02 and (np.abs(error) < bound).all()
+    for dims in (16, 64, 200):
+        x, y = vectors.unit(rng.standard_normal((300, dims))), vectors.unit(rng.standard_normal((300, dims)))
+        y = vectors.unit(x + 0.2 * y)
+        width = vectors.width_for(dims)
+        turn = vectors.whole_rotation(dims, width)
+        assert np.allclose(turn @ turn.T, np.eye(dims))
+        code, factor = vectors.encode(y)
+        bits, low, step, total = vectors.planes(x)
+        common = sum(np.bitwise_count(bits[k] & code).sum(axis=1).astype(np.int64) << k for k in range(4))
+        estimate = (2 * (low * np.bitwise_count(code).sum(axis=1) + step * common) - total) / math.sqrt(width) / factor
+        error = estimate - (x * y).sum(axis=1)
+        off = vectors.bound(factor, width) + vectors.SIGMAS * step / math.sqrt(12) / factor
+        assert abs(error.mean()) < 0.02 and (np.abs(error) < off).all()
+        i, j = vectors.judge(x, y, code, factor, 0.9)
+        assert sorted(zip(i.tolist(), j.tolist())) == sorted(zip(*(a.tolist() for a in np.nonzero(x @ y.T >= 0.9))))
+
+
+def test_vector_rows_that_repeat(spark):
+    """Rows that repeat an id count as vectors of their own; a null id is a component's only if it has no other."""
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    df = spark.createDataFrame([(4, a), (4, a), (4, b), (None, a), (None, [0.0, 0.0, 2.0]), (9, None), (9, None)], "vec_id long, embedding array<double>")
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in vectors.near_duplicate_vectors(df).collect()), key=repr)
+    assert got == sorted([(4, 2, 4, True), (4, 2, 4, True), (4, 0, 4, True), (None, 2, 4, False), (None, 0, None, True), (9, 0, 9, True), (9, 0, 9, True)], key=repr)
+
+
+def test_buckets_of_one_size():
+    """Clusters of many buckets at once are those of each by itself."""
+    rng = np.random.default_rng(8)
+    codes = rng.integers(0, 2**63, (40, 6, 2)).astype(np.uint64)
+    codes[:, 3] = codes[:, 1] ^ np.array([5, 0], np.uint64)
+    codes[:, 5] = codes[:, 3] ^ np.array([1 << 40, 0], np.uint64)
+    found = vectors.neighbours_of_many(codes, 3)
+    for n in range(40):
+        assert {frozenset(p) for p in found[found[:, 0] == n][:, 1:].tolist()} <= {frozenset((1, 3)), frozenset((3, 5)), frozenset((1, 5))}
+        assert (found[:, 0] == n).sum() == 2
