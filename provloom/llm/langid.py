@@ -3,7 +3,8 @@
 One model per language over the letters of words; n-grams stand as hashes in sorted arrays, with the
 interpolated probability in every language beside each hash, and the back-off weight beside each
 context.  The language of lowest cross-entropy per character is chosen.  Cross-entropies of labelled
-texts that the models haven't seen calibrate from where on a text is rejected as none of them.
+texts that the models haven't seen, in their own and in the other languages, calibrate from where on a
+text is rejected as none of them.
 """
 
 from __future__ import annotations
@@ -22,9 +23,12 @@ ORDER = 5
 #: Bounds of the labelled sample that the models are fitted on: documents of each language, and
 #: characters of each language (a document that doesn't fit any more is left out).
 TRAIN_DOCS, TRAIN_CHARS = 200, 1_000_000
-#: A text is rejected if its cross-entropy is above the mean of its language by this share of the mean
-#: (texts of two languages, names, code) and by so many standard deviations more.
-REJECT_SLACK, REJECT_AT = 1.0, 8.0
+#: Languages that are learned at most, those with the most documents.
+LANGUAGES = 500
+#: A text is rejected if its cross-entropy is above the limit of its language, so far on the way from what
+#: texts of the language have to what texts of the others have, by more than so many standard deviations.
+#: (Half way, one of 20,000 documents in a learned language was rejected, for a long secret in it.)
+REJECT_SHARE, REJECT_AT = 0.75, 8.0
 #: Words whose scores a worker remembers; the table is emptied beyond that, which changes no result.
 REMEMBERED, LONGEST_REMEMBERED = 150_000, 32
 
@@ -73,7 +77,7 @@ class LanguageModels:
     probability: list[np.ndarray] = field(default_factory=list)  # of each order: keys x languages
     contexts: list[np.ndarray] = field(default_factory=list)
     back_off: list[np.ndarray] = field(default_factory=list)
-    #: Of each language: mean cross-entropy, its variance per character and its variance per text.
+    #: Of each language: the limit of the cross-entropy, its variance per character and its variance per text.
     calibration: list[tuple[float, float, float]] = field(default_factory=list)
 
     def score(self, words: list[str]) -> np.ndarray:
@@ -142,20 +146,26 @@ def fit(samples: dict[str, list[str]]) -> LanguageModels:
         model.probability.append(np.maximum(p, 1e-12).astype(np.float32))
         model.contexts.append(contexts)
         model.back_off.append(lam.astype(np.float32))
+    rates: list[list[np.ndarray]] = [[] for _ in names]  # of each language's calibrating texts: the rate in every language
+    spread: list[list[float]] = [[] for _ in names]
+    sizes: list[list[int]] = [[] for _ in names]
     for j, l in enumerate(names):
-        rates, spread, sizes = [], [], []
         for t in parts[l][1]:
             words = words_of(t)
             if words:
-                nll, size = model.score(words)[:, j], np.array([len(w) + 1 for w in words])
-                rates.append(nll.sum() / size.sum())
-                sizes.append(size.sum())
-                spread.append(((nll - rates[-1] * size) ** 2).sum() / size.sum())
-        if rates:
-            mean, a, sizes_ = float(np.mean(rates)), float(np.mean(spread)), np.array(sizes)
-            model.calibration.append((mean, a, float(max(1e-4, np.mean((np.array(rates) - mean) ** 2 - a / sizes_)))))
-        else:
-            model.calibration.append((0.0, float("inf"), float("inf")))
+                nll, size = model.score(words), np.array([len(w) + 1 for w in words])
+                rates[j].append(nll.sum(axis=0) / size.sum())
+                sizes[j].append(int(size.sum()))
+                spread[j].append(((nll[:, j] - rates[j][-1][j] * size) ** 2).sum() / size.sum())
+    for j in range(len(names)):
+        if not rates[j]:
+            model.calibration.append((float("inf"), float("inf"), float("inf")))
+            continue
+        own = np.array([r[j] for r in rates[j]])
+        foreign = [r[j] for k, x in enumerate(rates) if k != j for r in x]
+        mean, per_char = float(own.mean()), float(np.mean(spread[j]))
+        per_text = float(max(1e-4, np.mean((own - mean) ** 2 - per_char / np.array(sizes[j]))))
+        model.calibration.append((mean + REJECT_SHARE * (float(np.mean(foreign)) - mean) if foreign else 2 * mean, per_char, per_text))
     return model
 
 
@@ -167,14 +177,21 @@ class Identifier:
         self.place: dict[str, int] = {}
         self.scores = np.empty((0, len(model.languages)), np.float32)
         self.sizes = np.empty(0, np.float32)
+        self.stay, self.passing = 0, []  # rows of the table that stay; words whose rows don't
 
     def learn(self, words: set[str]) -> None:
-        """Scores words not seen yet, which then stand in the table."""
+        """Scores words not seen yet, which then stand in the table; long ones only until the next call."""
+        if len(self.place) > REMEMBERED:
+            self.place, self.stay = {}, 0
+        for w in self.passing:
+            self.place.pop(w, None)
+        self.scores, self.sizes = self.scores[: self.stay], self.sizes[: self.stay]
         new = [w for w in words if w not in self.place]
-        if len(self.place) > REMEMBERED or any(len(w) > LONGEST_REMEMBERED for w in self.place.keys() & words):
-            self.place, self.scores, self.sizes, new = {}, self.scores[:0], self.sizes[:0], list(words)
+        self.passing = [w for w in new if len(w) > LONGEST_REMEMBERED]
+        new = [w for w in new if len(w) <= LONGEST_REMEMBERED] + self.passing
         if new:
-            self.place.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new))))
+            self.place.update(zip(new, range(self.stay, self.stay + len(new))))
+            self.stay += len(new) - len(self.passing)
             self.scores = np.concatenate((self.scores, self.model.score(new).astype(np.float32)))
             self.sizes = np.concatenate((self.sizes, np.array([len(w) + 1 for w in new], np.float32)))
 
@@ -193,29 +210,33 @@ class Identifier:
             n = self.sizes[at].sum(dtype=np.float64)
             rate = self.scores[at].sum(axis=0, dtype=np.float64) / n
             best = int(np.argmin(rate))  # ties: the first language by name
-            mean, per_char, per_text = self.model.calibration[best]
-            rejected = bool(rate[best] - (1 + REJECT_SLACK) * mean > REJECT_AT * np.sqrt(per_char / n + per_text))
+            limit, per_char, per_text = self.model.calibration[best]
+            rejected = bool(rate[best] - limit > REJECT_AT * np.sqrt(per_char / n + per_text))
             out.append((self.model.languages[best], float(1 / np.exp(-(rate - rate[best]) * min(n, 50.0)).sum()), float(rate[best]), rejected))
         return out
 
 
 def train(labelled: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", max_docs: int = TRAIN_DOCS, max_chars: int = TRAIN_CHARS) -> LanguageModels:
     """Fits the models on a bounded sample: the ``max_docs`` documents of each language whose ids have
-    the smallest hashes, as long as their texts have ``max_chars`` characters together.
+    the smallest hashes, as long as their texts have ``max_chars`` characters together, of at most
+    ``LANGUAGES`` languages.
 
-    Rows without language, text or id aren't used.  The first pass reads ids and languages only and
-    finds the hash below which a language has about enough rows.
+    Rows without language, text or id aren't used, nor is a text longer than ``max_chars``.  The first
+    pass reads ids and languages only and finds the hash below which a language has about enough
+    rows; what comes to the driver is bounded even if one id stands in very many rows.
     """
-    rank = F.shiftrightunsigned(F.xxhash64(labelled[id_col].cast("string")), 1)
-    rows = labelled.select(labelled[lang_col].alias("lang"), rank.alias("h"), labelled[text_col].alias("text")).where("lang is not null and text is not null and h is not null")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    known = labelled.where(labelled[id_col].isNotNull() & labelled[lang_col].isNotNull() & labelled[text_col].isNotNull())
+    rank = F.shiftrightunsigned(F.xxhash64(known[id_col].cast("string")), 1)
+    rows = known.select(known[lang_col].alias("lang"), rank.alias("h"), known[text_col].alias("text"))
+    counts = {r["lang"]: r["ids"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("h").alias("ids")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not counts:
         return LanguageModels([])
     margin = 1.3 * max_docs + 50
     below = F.element_at(F.create_map(*[F.lit(x) for l, n in counts.items() for x in (l, min(2**63 - 1, int(2**63 * (margin / n))))]), F.col("lang"))
+    found = rows.where((F.col("h") <= below) & (F.char_length("text") <= max_chars)).orderBy("h", "lang", "text").limit(int(2 * margin) * len(counts))
     samples: dict[str, list[str]] = {}
     chars: dict[str, int] = {}
-    for r in sorted(rows.where(F.col("h") <= below).collect(), key=lambda r: (r["lang"], r["h"], r["text"])):
+    for r in sorted(found.collect(), key=lambda r: (r["lang"], r["h"], r["text"])):
         mine = samples.setdefault(r["lang"], [])
         if len(mine) < max_docs and chars.get(r["lang"], 0) + len(r["text"]) <= max_chars:
             mine.append(r["text"])

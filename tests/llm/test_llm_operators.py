@@ -154,6 +154,76 @@ def test_models_are_distributions():
         assert 0 < total <= 1 + 1e-9
 
 
+def kneser_ney(words, order=langid.ORDER):
+    """Interpolated Kneser-Ney probabilities straight from their definition, over strings: p(character, history)."""
+    start, end = "\x01", "\x02"
+    counts = {}
+    for w in words:
+        s = start * (order - 1) + w + end
+        for i in range(order - 1, len(s)):
+            counts[s[i - order + 1 : i + 1]] = counts.get(s[i - order + 1 : i + 1], 0) + 1
+    levels = [counts]
+    for _ in range(order - 1):
+        lower = {}
+        for g in levels[0]:
+            lower[g[1:]] = lower.get(g[1:], 0) + 1
+        levels.insert(0, lower)
+    discounts = []
+    for level in levels:
+        ones, twos = sum(n == 1 for n in level.values()), sum(n == 2 for n in level.values())
+        discounts.append(ones / (ones + 2 * twos) if ones and twos else 0.5)
+
+    def p(character, history, floor):
+        value = floor
+        for n, (level, d) in enumerate(zip(levels, discounts)):
+            context = history[len(history) - n :] if n else ""
+            after = {g[-1]: c for g, c in level.items() if g[:-1] == context}
+            if after:
+                total = sum(after.values())
+                value = max(after.get(character, 0) - d, 0) / total + d * len(after) / total * value
+        return value
+
+    return p
+
+
+def test_models_are_kneser_ney():
+    """Scores of whole words in two languages are those of a direct version, seen characters and contexts or not."""
+    samples = {"a": ["banana bandana cabana ban banana"], "b": ["cab bacon nacab abba"]}
+    model = langid.fit(samples)
+    for j, text in enumerate(samples.values()):
+        p = kneser_ney(text[0].split())
+        for word in ("banana", "cab", "ban", "zab", "nnn", "bandanas"):
+            s = "\x01" * (langid.ORDER - 1) + word + "\x02"
+            want = -sum(math.log(p(s[i], s[:i], model.floor)) for i in range(langid.ORDER - 1, len(s)))
+            assert model.score([word])[0][j] == pytest.approx(want, rel=1e-4), word
+
+
+def test_training_sample(spark, monkeypatch):
+    """Rows without an id aren't learned from; what is collected is bounded though one id repeats; big texts and rare labels are left out."""
+    seen = {}
+    monkeypatch.setattr(langid, "fit", lambda samples: seen.update(samples) or langid.LanguageModels(sorted(samples)))
+    rows = [(None, "xx", f"null{i}") for i in range(300)] + [(7, "xx", f"seven{i}") for i in range(400)] + [(i, "xx", "plain") for i in range(100, 160)]
+    rows += [(5000, "xx", "y" * 2000), (1, "yy", "z"), (2, "yy", "z"), (3, "qq", "only")]
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    langid.train(spark.createDataFrame(rows, "doc_id long, lang string, text string"), max_docs=20, max_chars=1000)
+    assert set(seen) == {"xx", "yy"} and len(seen["xx"]) == 20 and seen["yy"] == ["z", "z"]
+    assert not any(t.startswith(("null", "y")) for t in seen["xx"])
+
+
+def test_unlearned_languages_are_rejected_and_long_words_pass():
+    rng = random.Random(3)
+    text = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(3, 8))) for _ in range(80))
+    model = langid.fit({"xx": [text("aabbcd") for _ in range(30)], "yy": [text("eeffgh") for _ in range(30)]})
+    identify = langid.Identifier(model).identify
+    assert [r[3] for r in identify([text("aabbcd"), text("eeffgh"), text("ijklmn"), text("acegijk")])] == [False, False, True, True]
+    long = "ab" * 40
+    first = identify([long + " abba", long])
+    again = langid.Identifier(model)
+    for _ in range(3):
+        assert again.identify([long + " abba", long]) == first
+    assert list(again.place) == ["abba", long] and again.stay == 1
+
+
 # ---- 3: licences ------------------------------------------------------------------
 
 
@@ -200,7 +270,7 @@ def brute_hits(text, items):
     return len(w), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("block_bytes", [decontaminate.BLOCK_BYTES, 200])
+@pytest.mark.parametrize("block_bytes", [decontaminate.BLOCK_BYTES, 500, 200])
 def test_decontaminate(spark, docs, empty, block_bytes):
     items = [(1, SHARED), (2, "plain WORDS"), (3, None), (4, ""), (2, "Été"), (None, "y"), (5, "never there at all")]
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -217,6 +287,26 @@ def test_decontaminate(spark, docs, empty, block_bytes):
     assert not any(r.n_hit for r in decontaminate.decontaminate(docs, bench.limit(0)).collect())
 
 
+def test_one_block_at_a_time(spark, docs, monkeypatch):
+    """Of a benchmark of several blocks the phrases of one are held, and the result reads what passes wrote."""
+    made, live = decontaminate._pass, []
+
+    def one(*args):
+        found, held = made(*args)
+        live.append(held)
+        assert sum(not getattr(b, "gone", False) for b in live) == 1
+        destroy = held.destroy
+        held.destroy = lambda: (destroy(), setattr(held, "gone", True))
+        return found, held
+
+    monkeypatch.setattr(decontaminate, "_pass", one)
+    bench = spark.createDataFrame([(i, f"{SHARED} {i}") for i in range(6)], "item_id long, text string")
+    got = decontaminate.decontaminate(docs, bench, block_bytes=1000)
+    assert len(live) > 2 and all(b.gone for b in live)
+    assert "MapInArrow" not in got._jdf.queryExecution().toString()
+    assert {tuple(r["items"]) for r in got.where("n_hit > 0").collect()} == {tuple("012345")}
+
+
 # ---- 5: mixing ------------------------------------------------------------------------
 
 
