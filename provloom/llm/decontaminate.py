@@ -8,23 +8,26 @@ positions, and overlapping ones are merged into removal spans.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, folded_words, slices, with_text
+from .common import arrow_schema, cut, folded_words, scratch, slices, with_text
 from .fmindex import FMIndex
 
 WINDOW = 13
-#: Texts of one FM-index, and the bytes of benchmark text that go to the tasks at one time; larger
-#: benchmarks are searched in blocks, one after the other.
+#: Texts of one FM-index, and the bytes of benchmark text that go to the tasks at one time: 2 MiB take
+#: about 160 MB as phrases, in the driver and in a worker.  Larger benchmarks are searched in blocks,
+#: one after the other.
 SHARD_ROWS = 512
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 2 << 20
 
 
 class Phrases:
@@ -100,6 +103,7 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+_FOUND = (T.StructField("n_words", T.LongType()), T.StructField("spans", _SPANS), T.StructField("items", T.ArrayType(T.StringType())))
 
 
 def decontaminate(
@@ -119,9 +123,11 @@ def decontaminate(
     Returns ``keep`` (by default ``id_col``) and n_words, n_hit (words inside any occurrence),
     spans (merged runs of hit words, end exclusive), items (ids as strings, sorted, of items with
     an occurring window; null ids aren't listed) and contaminated (n_hit > 0 and 20 * n_hit >=
-    n_words), one row per input row.  Narrow, no shuffle.  The benchmark's size is measured first;
-    each block of it that goes to the tasks is bounded by ``block_bytes``, and a larger benchmark is
-    searched in several passes.
+    n_words), one row per input row.  The benchmark's size is measured first.  One that fits in
+    ``block_bytes`` is searched in one narrow pass, without shuffle.  A larger one is searched block
+    by block: each pass writes what it found before the next block is made, so driver and workers
+    hold one block at a time; texts are written once, and only hits are joined (an item longer than
+    a block is a block by itself).
 
     Null and empty texts have no words; items without words have no window.  Texts are searched
     whole.  Repeated rows and items count once each where they stand; an empty benchmark gives no
@@ -131,31 +137,59 @@ def decontaminate(
     wanted = benchmark.select(benchmark[item_col].cast("string").alias("item"), benchmark[item_text_col].cast("string").alias("text"))
     size = wanted.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    now, text_at = with_text(df, keep, text_col)
-    now = now.select("*", F.lit(0).cast("long").alias("n_words"), F.array().cast(_SPANS).alias("spans"), F.array().cast("array<string>").alias("items"))
-    for b in range(blocks):
-        block = wanted.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect()
-        now = _pass(now, text_at, Phrases([(r["item"], r["text"]) for r in block], window), last=b == blocks - 1)
+    rows, text_at = with_text(df, keep, text_col)
+
+    def block(number: int) -> Phrases:
+        some = wanted.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == number).collect()
+        return Phrases([(r["item"], r["text"]) for r in some], window)
+
+    if blocks == 1:
+        found = _pass(rows, text_at, block(0))[0]
+    else:
+        with scratch(df.sparkSession) as kept:
+            rows = kept(rows.withColumn("_row", F.monotonically_increasing_id()), "contamination-rows")
+            hits = []
+            for number in range(blocks):
+                found, held = _pass(rows.select("_row", rows.columns[text_at]), 1, block(number))
+                hits.append(cut(found.where(F.lit(number == 0) | (F.size("spans") > 0)).select("_row", "n_words", "spans", "items"), "contamination-hits"))
+                held.destroy()
+            every = functools.reduce(DataFrame.unionAll, hits).groupBy("_row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+            found = kept(_merged(every), "contamination-found")
+        found = rows.join(found, "_row")
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    return now.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], "n_words", n_hit.alias("n_hit"), "spans", "items").withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+    return found.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], "n_words", n_hit.alias("n_hit"), "spans", "items").withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
-def _pass(df: DataFrame, text_at: int, phrases: Phrases, last: bool) -> DataFrame:
-    """Adds to spans and items what one block of the benchmark has in each text; the last drops the text."""
+def _pass(df: DataFrame, text_at: int, phrases: Phrases) -> tuple[DataFrame, Broadcast]:
+    """Adds n_words, spans and items of one block of the benchmark (a text that isn't kept goes); and what it broadcasts."""
     held = df.sparkSession.sparkContext.broadcast(phrases)
-    schema = T.StructType([f for f in df.schema if not (last and f.name == "_t")])
-    out, n_same = arrow_schema(schema), len(schema) - 3
+    same = [i for i, f in enumerate(df.schema) if f.name != "_t"]
+    schema = T.StructType([*[df.schema[i] for i in same], *_FOUND])
+    out = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, SHARD_ROWS):
             found = search_shard(part.column(text_at).to_pylist(), held.value)
-            spans = [[{"start": s, "end": e} for s, e in merge([(x["start"], x["end"]) for x in old] + new)] for old, (_, new, _) in zip(part.column("spans").to_pylist(), found)]
-            items = [sorted(set(old) | {i for i in new if i is not None}) for old, (_, _, new) in zip(part.column("items").to_pylist(), found)]
-            columns = [part.column(i).cast(out.field(i).type) for i in range(n_same)]
-            columns += [pa.array(v, type=out.field(n_same + j).type) for j, v in enumerate(([n for n, _, _ in found], spans, items))]
+            spans = [[{"start": s, "end": e} for s, e in x] for _, x, _ in found]
+            items = [sorted(i for i in x if i is not None) for _, _, x in found]
+            columns = [part.column(i).cast(out.field(k).type) for k, i in enumerate(same)]
+            columns += [pa.array(v, type=out.field(len(same) + j).type) for j, v in enumerate(([n for n, _, _ in found], spans, items))]
             yield pa.RecordBatch.from_arrays(columns, schema=out)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, schema), held
+
+
+def _merged(df: DataFrame) -> DataFrame:
+    """Rows (_row, n_words, spans, items) of several blocks with spans merged and items once, in order."""
+    out = arrow_schema(df.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            spans = [[{"start": s, "end": e} for s, e in merge([(x["start"], x["end"]) for x in found])] for found in part.column(2).to_pylist()]
+            items = [sorted(set(found)) for found in part.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(spans, out.field(2).type), pa.array(items, out.field(3).type)], schema=out)
+
+    return df.mapInArrow(run, df.schema)
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
