@@ -221,9 +221,10 @@ def train(labelled: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", t
     the smallest hashes, as long as their texts have ``max_chars`` characters together, of at most
     ``LANGUAGES`` languages.
 
-    Rows without language, text or id aren't used, nor is a text longer than ``max_chars``.  The first
-    pass reads ids and languages only and finds the hash below which a language has about enough
-    rows; what comes to the driver is bounded even if one id stands in very many rows.
+    Rows without language, text or id aren't used, nor is a text longer than ``max_chars``; of rows that
+    share an id and a language only the smallest text is.  The first pass reads ids and languages only
+    and finds the hash below which a language has about enough ids, so what comes to the driver is
+    bounded, however often an id is repeated.
     """
     known = labelled.where(labelled[id_col].isNotNull() & labelled[lang_col].isNotNull() & labelled[text_col].isNotNull())
     rank = F.shiftrightunsigned(F.xxhash64(known[id_col].cast("string")), 1)
@@ -233,7 +234,7 @@ def train(labelled: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", t
         return LanguageModels([])
     margin = 1.3 * max_docs + 50
     below = F.element_at(F.create_map(*[F.lit(x) for l, n in counts.items() for x in (l, min(2**63 - 1, int(2**63 * (margin / n))))]), F.col("lang"))
-    found = rows.where((F.col("h") <= below) & (F.char_length("text") <= max_chars)).orderBy("h", "lang", "text").limit(int(2 * margin) * len(counts))
+    found = rows.where((F.col("h") <= below) & (F.char_length("text") <= max_chars)).groupBy("lang", "h").agg(F.min("text").alias("text"))
     samples: dict[str, list[str]] = {}
     chars: dict[str, int] = {}
     for r in sorted(found.collect(), key=lambda r: (r["lang"], r["h"], r["text"])):
