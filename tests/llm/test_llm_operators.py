@@ -239,6 +239,17 @@ def test_licenses(spark, docs, empty):
     assert licenses.scan_licenses(empty).collect() == []
 
 
+def test_license_versions(spark):
+    """Whole texts tell versions apart; a clause left out, a name put in and a second licence are seen."""
+    three, two = " ".join(next(t for t in licenses.MORE if t.label == "bsd-3-clause").words), " ".join(next(t for t in licenses.MORE if t.label == "bsd-2-clause").words)
+    gpl = licenses._GNU.format("General Public License", "3")
+    rows = [(1, "x " + three), (2, two.upper()), (3, gpl + " also cc by"), (4, licenses._MIT), (5, three.replace("the copyright holder nor", "acme corp of somewhere nor")), (6, licenses._CREATIVE.format("Attribution-ShareAlike 4.0"))]
+    got = {r.doc_id: (r.labels.split(","), r.score, r.base_labels) for r in licenses.digest(licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert got[1] == (["bsd", "bsd-3-clause"], 1.0, "") and got[2] == (["bsd", "bsd-2-clause"], 1.0, "")
+    assert got[3] == (["cc-by", "gpl", "gpl-3.0"], 1.0, "cc-by,gpl") and got[4] == (["mit"], 1.0, "")
+    assert got[5][0] == ["bsd", "bsd-3-clause"] and got[6][0] == ["cc-by", "cc-by-sa-4.0"]
+
+
 # ---- 4: contamination ---------------------------------------------------------------
 
 
