@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provloom.llm import decontaminate, langid, minhash, mix, secrets
-from provloom.llm.common import cut, table
+from provloom.llm.common import scratch, table
 from provloom.llm.queries import held_out
 
 
@@ -27,7 +27,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     A row is known by its id and text, as ids can be null or stand for several texts.
     """
-    ids = cut(minhash.kept_rows(docs).select(F.col("id").alias("_id"), F.col("digest").alias("_of"), "repeated"), "pipeline-ids")
+    ids = minhash.kept_rows(docs).select(F.col("id").alias("_id"), F.col("digest").alias("_of"), "repeated")
     repeats = ids.where("repeated")
     rows = docs.withColumn("_digest", minhash.text_digest(F.col("text")))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_of"))
@@ -72,8 +72,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage.  Empty tables and nulls are treated as the stages' operators say."""
+    """The rows of the last stage.  Empty tables and nulls are treated as the stages' operators say.
+
+    What a stage writes for itself is deleted when the stage is written, and all but the last stage
+    at the end.
+    """
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    with scratch(spark) as last:
+        for name, stage in STAGES:
+            with scratch(spark) as keep:
+                written = last if name == STAGES[-1][0] else keep
+                docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
