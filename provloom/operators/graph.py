@@ -15,6 +15,7 @@ class PropertyGraph:
 
     def __init__(self, nodes: DataFrame, edges: DataFrame):
         self.nodes, self.edges = nodes, edges
+        self._both: DataFrame | None = None
 
     def __enter__(self) -> PropertyGraph:
         return self
@@ -73,8 +74,13 @@ class PropertyGraph:
         return found.orderBy("subject_id", "predicate", "object_id").limit(limit) if limit else found
 
     def shortest_path(self, source: str, target: str, max_hops: int = 5):
-        """(labels, predicates) of a shortest undirected path of up to ``max_hops`` edges, or None."""
-        return paths.shortest_path(self.nodes, self.edges, source, target, max_hops)
+        """(labels, predicates) of a shortest undirected path of up to ``max_hops`` edges, or None.
+
+        The edges in both directions are written by the first search of a graph.
+        """
+        if self._both is None:
+            self._both = paths.written(paths.undirected(self.edges), "graph-edges")
+        return paths.shortest_path(self.nodes, self.edges, source, target, max_hops, self._both)
 
     def components(self) -> DataFrame:
         return paths.components(self.nodes, self.edges)

@@ -60,6 +60,24 @@ def numbered(df: DataFrame, name: str, order: list[Column | str], by: list[str]
     return kept.join(F.broadcast(before), "_part").withColumn(name, (F.col("_before") + within).cast("long")).drop("_part", "_before")
 
 
+def running_count(df: DataFrame, name: str, test: Column, by: str, order: str) -> DataFrame:
+    """How many rows so far, in order within ``by``, pass a test.
+
+    ``by`` may have a handful of values: its groups are cut into ranges, each counts its rows, and what
+    stands before a range in its group is added.  No task sees a whole group.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Written, as the partitioning has to be the same when its rows are counted and when they are numbered.
+    kept = written(df.withColumn("_hit", F.coalesce(test, F.lit(False)).cast("long")).repartitionByRange(parts, by, order).withColumn("_part", F.spark_partition_id()), "running")
+    sums = kept.groupBy(by, "_part").agg(F.sum("_hit").alias("_n"))
+    ahead = Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(F.col(by).alias("_by"), F.col("_part").alias("_of"), F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+    within = F.sum("_hit").over(Window.partitionBy("_part", by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    joined = kept.withColumn("_within", within).join(before, (F.col("_part") == F.col("_of")) & F.col(by).eqNullSafe(F.col("_by")))
+    return joined.withColumn(name, (F.col("_before") + F.col("_within")).cast("long")).drop("_hit", "_part", "_of", "_by", "_before", "_within")
+
+
 def top(df: DataFrame, key: list[str], n: int, count: str = "n") -> DataFrame:
     """The most frequent keys; ties by key.  A top-k of partial sums, no full sort."""
     return df.groupBy(*key).agg(F.count(F.lit(1)).alias(count)).orderBy(F.desc(count), *key).limit(n)

@@ -1,9 +1,8 @@
 """Entity resolution: ontology and taxonomy cascades, manual mappings, synonym index, decisions.
 
-Exact tiers are equi-joins on normalised terms.  The loose tiers (prefix, words, substring) are asked
-only of queries without an exact hit, and only as many entries as share a rare enough piece of the
-query are compared where a join key exists; substrings have none, so that tier compares the
-unresolved queries with all entries.
+Exact tiers are equi-joins on normalised terms.  The loose tiers use an inverted index: an entry whose
+text holds the query, or all of its words, has the query's rarest piece too, so only the entries
+with that piece are compared.  No query is compared with all entries.
 """
 
 from __future__ import annotations
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores
 from ..functions.text import name_variants, normalize_name, ontology_form, tokens
+from .paths import Rounds, written
 from .relational import first_wins
 
 #: Tiers of an ontology search, best first.
@@ -41,27 +41,50 @@ def resolve_exact(queries: DataFrame, entries: DataFrame) -> DataFrame:
     return q.select("query").join(best.select("query", "id", "label", F.when(F.col("tier") == 1, TIERS[0]).otherwise(TIERS[1]).alias("match_type")), "query", "left")
 
 
+def _rarest_joined(queries: DataFrame, texts: DataFrame) -> DataFrame:
+    """Queries and texts that have the query's rarest piece; both with an array ``_pieces`` of distinct strings.
+
+    The index holds only pieces that a query has; how often each occurs picks one for each query.
+    """
+    asked = queries.withColumn("_piece", F.explode("_pieces")).drop("_pieces")
+    index = texts.withColumn("_piece", F.explode("_pieces")).drop("_pieces").join(asked.select("_piece").distinct(), "_piece", "left_semi")
+    often = index.groupBy("_piece").agg(F.count(F.lit(1)).alias("_n"))
+    one = asked.join(often, "_piece", "left").groupBy(*[c for c in asked.columns if c != "_piece"]).agg(F.min_by("_piece", F.struct(F.coalesce("_n", F.lit(0)), "_piece")).alias("_piece"))
+    return one.join(index, "_piece").drop("_piece")
+
+
+def _grams(text: Column, sizes: Column) -> Column:
+    """Distinct runs of so many characters."""
+    runs = F.transform(sizes, lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n))).otherwise(_none()))
+    return F.array_distinct(F.flatten(runs))
+
+
+def holding(queries: DataFrame, texts: DataFrame, query: str, text: str) -> DataFrame:
+    """Rows of both where the text holds the query, by the query's rarest run of three characters (or all of a shorter one)."""
+    q = queries.where(F.length(query) > 0).withColumn("_pieces", _grams(F.col(query), F.array(F.least(F.lit(3), F.length(query)))))
+    t = texts.withColumn("_pieces", _grams(F.col(text), F.array(F.lit(1), F.lit(2), F.lit(3))))
+    return _rarest_joined(q, t).where(F.contains(F.col(text), F.col(query)))
+
+
 def search_ontology(queries: DataFrame, entries: DataFrame, max_results: int = 5) -> DataFrame:
     """(query, rank, id, label, match_type): the best ``max_results`` entries for each query.
 
     An entry counts in its best tier: label equal, query an exact synonym, label starts with the
     query and a space, all words of the query in the label, query inside the label, query inside a
-    synonym.  Ties are in ontology order.  Every query is compared with every entry (this is a search
-    of a few stated queries; for whole tables use ``resolve_exact``), queries being broadcast only if
-    the planner finds them small.
+    synonym.  Ties are in ontology order.  A query of no characters, which every label holds, has no
+    hits.  Candidates come from joins on terms and on rarest pieces.
     """
-    q = queries.select("query").distinct().withColumn("_q", ontology_form(F.col("query")))
-    e = entries.select("ord", "id", "label", ontology_form(F.col("label")).alias("_l"), F.transform(F.coalesce("exact", _none()), ontology_form).alias("_x"), F.transform(F.concat(F.coalesce("exact", _none()), F.coalesce("other", _none())), ontology_form).alias("_s"))
-    words = tokens(F.col("_q"))
-    tier = (
-        F.when(F.col("_l") == F.col("_q"), 1)
-        .when(F.array_contains("_x", F.col("_q")), 2)
-        .when(F.startswith("_l", F.concat("_q", F.lit(" "))), 3)
-        .when((F.size(words) > 0) & (F.size(F.array_except(words, tokens(F.col("_l")))) == 0), 4)
-        .when((F.col("_l") != "") & F.contains(F.col("_l"), F.col("_q")), 5)
-        .when(F.exists("_s", lambda s: F.contains(s, F.col("_q"))), 6)
-    )
-    hits = q.crossJoin(e).withColumn("tier", tier).where("tier is not null")
+    q = queries.select("query").distinct().withColumn("_q", ontology_form(F.col("query"))).where("_q <> ''")
+    e = entries.select("ord", "id", "label", ontology_form(F.col("label")).alias("_l"))
+    named = terms(entries)
+    exact = q.join(named, F.col("_q") == F.col("term")).select("query", "ord", "id", "label", "tier")
+    worded = _rarest_joined(q.withColumn("_pieces", F.array_distinct(tokens(F.col("_q")))), e.withColumn("_pieces", F.array_distinct(tokens(F.col("_l")))))
+    worded = worded.where(F.size(F.array_except(tokens(F.col("_q")), tokens(F.col("_l")))) == 0).select("query", "ord", "id", "label", F.lit(4).alias("tier"))
+    inside = holding(q, e.where("_l <> ''"), "_q", "_l")
+    inside = inside.select("query", "ord", "id", "label", F.when(F.startswith("_l", F.concat("_q", F.lit(" "))), 3).otherwise(5).alias("tier"))
+    synonyms = entries.select("ord", "id", "label", F.explode(F.array_distinct(F.transform(F.concat(F.coalesce("exact", _none()), F.coalesce("other", _none())), ontology_form))).alias("_s"))
+    by_synonym = holding(q, synonyms, "_q", "_s").select("query", "ord", "id", "label", F.lit(6).alias("tier"))
+    hits = exact.unionAll(worded).unionAll(inside).unionAll(by_synonym).groupBy("query", "ord", "id", "label").agg(F.min("tier").alias("tier"))
     # Both substring tiers rank together, in ontology order.
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.least("tier", F.lit(5)), "ord"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= max_results).select("query", "rank", "id", "label", F.element_at(F.array(*[F.lit(t) for t in TIERS]), F.col("tier")).alias("match_type"))
@@ -123,7 +146,7 @@ def search_taxa(queries: DataFrame, names: DataFrame, ranks: DataFrame, max_resu
     tier = F.when(F.col("name_class") == "scientific name", 1).when(F.col("name_class").isin("synonym", "equivalent name", "genbank synonym"), 2).otherwise(3)
     exact = exact.select("query", "tax_id", tier.alias("tier"), "ord")
     rest = q.join(exact.select("query").distinct(), "query", "left_anti")
-    inside = rest.join(n.where("name_class = 'scientific name'"), F.contains(F.col("_n"), F.col("_q"))).groupBy("query", "tax_id").agg(F.min("ord").alias("ord")).select("query", "tax_id", F.lit(4).alias("tier"), "ord")
+    inside = holding(rest, n.where("name_class = 'scientific name'"), "_q", "_n").groupBy("query", "tax_id").agg(F.min("ord").alias("ord")).select("query", "tax_id", F.lit(4).alias("tier"), "ord")
     no = F.row_number().over(Window.partitionBy("query").orderBy("tier", "ord", "tax_id"))
     best = exact.unionAll(inside).withColumn("rank_no", no).where(F.col("rank_no") <= max_results)
     kinds = F.array(F.lit("exact_scientific"), F.lit("exact_synonym"), F.lit("exact_anyname"), F.lit("substring"))
@@ -132,16 +155,17 @@ def search_taxa(queries: DataFrame, names: DataFrame, ranks: DataFrame, max_resu
 
 
 def lineage(taxa: DataFrame, nodes: DataFrame, max_depth: int = 40) -> DataFrame:
-    """(tax_id, depth, ancestor) up to the root of a parent map (tax_id, parent_id); one join per level."""
-    found = taxa.select("tax_id", F.lit(0).alias("depth"), F.col("tax_id").alias("ancestor"))
-    level = found
+    """(tax_id, depth, ancestor) up to the root of a parent map (tax_id, parent_id); one join per level, each written once."""
     up = nodes.select(F.col("tax_id").alias("ancestor"), "parent_id").where("ancestor <> parent_id")
-    for depth in range(1, max_depth + 1):
-        level = level.join(up, "ancestor").select("tax_id", F.lit(depth).alias("depth"), F.col("parent_id").alias("ancestor"))
-        if level.isEmpty():
-            break
-        found = found.unionAll(level)
-    return found
+    with Rounds(taxa.sparkSession) as write:
+        level = write(taxa.select("tax_id", F.lit(0).alias("depth"), F.col("tax_id").alias("ancestor")), "lineage")
+        found = level
+        for depth in range(1, max_depth + 1):
+            level = write(level.join(up, "ancestor").select("tax_id", F.lit(depth).alias("depth"), F.col("parent_id").alias("ancestor")), "lineage")
+            if level.isEmpty():
+                break
+            found = found.unionAll(level)
+        return written(found, "lineage-found")
 
 
 def resolve_microbes(rows: DataFrame, names: DataFrame, ranks: DataFrame) -> DataFrame:

@@ -45,7 +45,7 @@ def few_shot(df: DataFrame, stratum: str, key: str, richness: str, strata: list[
 
 def hash_split(df: DataFrame, key: Column, weights: dict[str, float], seed: int = 42) -> DataFrame:
     """A column ``split`` with shares of about ``weights``, by a hash of the key; no shuffle."""
-    u = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(10_000)) / 10_000.0
+    u = F.conv(F.left(hash_order(key, seed), F.lit(8)), 16, 10).cast("long") / float(1 << 32)
     total, at, out = sum(weights.values()), 0.0, None
     for name, w in weights.items():
         at += w / total

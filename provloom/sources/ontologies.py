@@ -29,9 +29,16 @@ _SYNONYMS = tuple("{http://www.geneontology.org/formats/oboInOwl#}" + n for n in
 
 
 def owl_classes(path: str) -> Iterator[tuple]:
-    """Named classes of an RDF/XML file, by a pull parser that holds one class at a time; all synonyms count as exact."""
-    n = 0
-    for _, node in ET.iterparse(path, events=("end",)):
+    """Named classes of an RDF/XML file, by a pull parser that holds one child of the root at a time; all synonyms count as exact."""
+    n, depth, root = 0, 0, None
+    for event, node in ET.iterparse(path, events=("start", "end")):
+        if event == "start":
+            root = node if root is None else root
+            depth += 1
+            continue
+        depth -= 1
+        if depth == 1:
+            root.remove(node)  # the root would keep every child, even an empty one
         if node.tag != _CLASS:
             continue
         about = node.get(f"{_RDF}about")

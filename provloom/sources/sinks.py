@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -48,15 +49,27 @@ def embedding_columns(vectors: DataFrame, id_col: str, vector_col: str, dims: in
 def replace_graph(nodes: DataFrame, edges: DataFrame, path: str) -> tuple[int, int]:
     """Replaces a stored graph and counts it back; edges lie by predicate, so a filter on it prunes files.
 
-    ValueError if the counts read aren't those written.
+    The new graph is written and counted beside the old one and takes its place by renaming, so a
+    failure before that leaves the old one, and a graph may be made from the one that it replaces.
+    ValueError, and no change, if the counts read aren't those written.
     """
     spark = nodes.sparkSession
-    wanted = nodes.count(), edges.count()
-    nodes.write.mode("overwrite").parquet(f"{path}/nodes")
-    edges.write.mode("overwrite").partitionBy("predicate").parquet(f"{path}/edges")
-    found = spark.read.parquet(f"{path}/nodes").count(), spark.read.parquet(f"{path}/edges").count()
-    if found != wanted:
-        raise ValueError(f"wrote {wanted} nodes and edges, found {found}")
+    new, old = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}", f"{path.rstrip('/')}.old-{uuid.uuid4().hex}"
+    at = {p: spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, new, old)}
+    files = at[new].getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        wanted = nodes.count(), edges.count()
+        nodes.write.parquet(f"{new}/nodes")
+        edges.write.partitionBy("predicate").parquet(f"{new}/edges")
+        found = spark.read.schema(nodes.schema).parquet(f"{new}/nodes").count(), spark.read.schema(edges.schema).parquet(f"{new}/edges").count()
+        if found != wanted:
+            raise ValueError(f"wrote {wanted} nodes and edges, found {found}")
+        if files.exists(at[path]):
+            files.rename(at[path], at[old])
+        files.rename(at[new], at[path])
+        files.delete(at[old], True)
+    finally:
+        files.delete(at[new], True)
     return found
 
 

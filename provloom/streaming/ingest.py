@@ -18,9 +18,13 @@ def new_assertions(stream: DataFrame, time: str | None = None, within: str = "1
     return stream.dropDuplicates(KEY)
 
 
-def append_to(stream: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Appends a stream's new assertions to a Parquet store, exactly once; ``once`` ends when what is there is read."""
-    writer = new_assertions(stream).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+def append_to(stream: DataFrame, path: str, checkpoint: str, once: bool = True, time: str | None = None, within: str = "1 day") -> StreamingQuery:
+    """Appends a stream's new assertions to a Parquet store, exactly once; ``once`` ends when what is there is read.
+
+    With a ``time`` column repeats are looked for ``within`` that time and the state is bounded; without
+    one every key is remembered.
+    """
+    writer = new_assertions(stream, time, within).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 minute")).start()
 
 
