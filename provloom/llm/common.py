@@ -225,17 +225,32 @@ def word_spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
+#: Bytes of text, or units of a sequence, that arrays of several times their size are made for at one time.
+PIECE = 1 << 21
+
+
 def word_hashes(texts: list[str | None], fold: bool) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of some texts (see ``space_words``), and where each text's begin.
 
-    The hash of a word is a polynomial over its bytes, taken from prefix sums, then mixed.
+    The hash of a word is a polynomial over its bytes, taken from prefix sums, then mixed.  Long texts
+    go through in pieces that end between words.
     """
     parts = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
     sizes = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
     raw = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
-    up, down = _Powers.upto(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((_FOLDED if fold else _BYTE)[raw] * up[: len(raw)], out=sums[1:])
-    s, e = word_spans(raw)
-    hashes = mix64((sums[e] - sums[s]) * down[s] ^ (e - s).astype(np.uint64))
-    return hashes, np.searchsorted(s, np.concatenate(([0], np.cumsum(sizes))))
+    hashes, begins, at = [], [], 0
+    while at < len(raw):
+        end = min(at + PIECE, len(raw))
+        while end < len(raw) and not _SPACE[raw[end - 1]]:
+            spaces = np.flatnonzero(_SPACE[raw[end : end + PIECE]])
+            end = end + int(spaces[0]) + 1 if len(spaces) else min(end + PIECE, len(raw))
+        piece = raw[at:end]
+        up, down = _Powers.upto(len(piece) + 1)
+        sums = np.zeros(len(piece) + 1, np.uint64)
+        np.cumsum((_FOLDED if fold else _BYTE)[piece] * up[: len(piece)], out=sums[1:])
+        s, e = word_spans(piece)
+        hashes.append(mix64((sums[e] - sums[s]) * down[s] ^ (e - s).astype(np.uint64)))
+        begins.append(s + at)
+        at = end
+    starts = np.concatenate(begins)
+    return np.concatenate(hashes), np.searchsorted(starts, np.concatenate(([0], np.cumsum(sizes))))

@@ -2,13 +2,17 @@
 
 A text is a sequence of units (bytes or words).  Every window of ``window`` units has an anchor: the
 gram of ``gram`` units in it with the smallest hash, the last one on ties.  Windows that are equal
-have equal anchors, so they meet where anchors meet.  The windows of one anchor occurrence are
+have equal anchors at equal places, and the half of the window before the anchor or the half after it
+is whole, so they meet by the anchor together with that half: a phrase that very many texts have in
+different surroundings gathers none of them.  The windows of one anchor occurrence and half are
 neighbours; what they cover is its segment.
 
 Anchors travel packed, a block for each bucket and slice of texts, so Spark moves few, large rows.
-In a bucket, occurrences whose whole segments are equal are settled at once: all but the first are
-repeats.  Only the first occurrences of anchors that have several different segments need a closer
-look, which the operators bring.
+Of equal segments that a task meets only the first goes to their bucket, the others are known to be
+repeats; so a passage that a third of all texts have sends about one row a task.  In a bucket,
+occurrences whose whole segments are equal are settled at once: all but the first are repeats.  Only
+the first occurrences of anchors that have several different segments need a closer look, which the
+operators bring.
 """
 
 from __future__ import annotations
@@ -21,14 +25,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _Powers, arrow_schema, bounded_batches, cut, mix64, slices
+from .common import _BYTE, PIECE, _Powers, arrow_schema, bounded_batches, cut, mix64, slices
 
 SLICE = 512
 #: Bytes of text whose anchors make up about one bucket.
 BUCKET_BYTES = 4 << 20
 
-#: A packed anchor occurrence: gram hash, segment hash, document, hash of its text, start and length
-#: of the segment, and the anchor's place in it.
+#: Segments that a task remembers; the table is emptied beyond that, which changes no result.
+REMEMBERED = 200_000
+
+#: A packed anchor occurrence: hash of the anchor with its half, segment hash, document, hash of its
+#: text, start and length of the segment, and the anchor's place in it.
 ANCHOR = np.dtype([("h", "u8"), ("c", "u8"), ("doc", "i8"), ("ref", "i4"), ("start", "i4"), ("size", "i2"), ("at", "i2")])
 
 
@@ -47,12 +54,27 @@ class Hasher:
 def segments(units: np.ndarray, begins: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """Anchor occurrences (h, c, start, size, at; start in the whole sequence) and the text of each.
 
-    ``begins``: where the units of each text begin, and the end.
+    ``units``: hashes, or bytes, which stand for theirs; ``begins``: where the units of each text begin,
+    and the end.  Long texts go through in pieces, which share no window.
     """
+    if len(units) <= 2 * PIECE:
+        return _segments(units, begins, window, gram)
+    found, text = [], []
+    for i, (s, e) in enumerate(zip(begins[:-1].tolist(), begins[1:].tolist())):
+        for at in range(s, e - window + 1, PIECE):
+            end = min(e, at + PIECE + window - 1)
+            rows, _ = _segments(units[at:end], np.array([0, end - at]), window, gram)
+            rows["start"] += at
+            found.append(rows)
+            text.append(np.full(len(rows), i))
+    return np.concatenate([np.empty(0, ANCHOR), *found]), np.concatenate([np.empty(0, np.int64), *text])
+
+
+def _segments(units: np.ndarray, begins: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(units) - window + 1
     if n <= 0:
         return np.empty(0, ANCHOR), np.empty(0, np.int64)
-    hasher = Hasher(units)
+    hasher = Hasher(_BYTE[units] if units.dtype == np.uint8 else units)
     place = np.arange(len(units) - gram + 1)
     grams = mix64((hasher.sums[gram:] - hasher.sums[:-gram]) * hasher.down[: len(place)])
     low = np.uint64((1 << 24) - 1)
@@ -73,12 +95,18 @@ def segments(units: np.ndarray, begins: np.ndarray, window: int, gram: int) -> t
     whole = inside[first]  # the windows of a run are all inside their text or end past it, but for the last run
     first, last = first[whole], np.minimum(last[whole], begins[text[first[whole]] + 1] - window)
     anchor = first + ((low - (least[first] & low) - first.astype(np.uint64)) & low).astype(np.int64)
-    out = np.empty(len(first), ANCHOR)
-    out["h"] = grams[anchor]
-    out["at"] = anchor - first
-    out["start"], out["size"] = first, last + window - first
-    out["c"] = mix64(hasher.of(first, last + window) ^ (anchor - first).astype(np.uint64))
-    return out, text[first]
+    half, made = (window - gram) // 2, []
+    for side, (s, e) in enumerate(((first, np.minimum(last, anchor - half)), (np.maximum(first, anchor - half + 1), last))):
+        has = s <= e
+        s, e, a = s[has], e[has], anchor[has]
+        out = np.empty(len(s), ANCHOR)
+        stretch = (a - half, a + gram) if side == 0 else (a, a + gram + half)
+        out["h"] = mix64(hasher.of(*stretch) ^ np.uint64(side))
+        out["at"] = a - s
+        out["start"], out["size"] = s, e + window - s
+        out["c"] = mix64(hasher.of(s, e + window) ^ (a - s).astype(np.uint64))
+        made.append((out, text[s]))
+    return np.concatenate([m for m, _ in made]), np.concatenate([t for _, t in made])
 
 
 Units = Callable[[list], tuple[np.ndarray, np.ndarray]]
@@ -102,28 +130,84 @@ def deal(rows: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
 _BLOCK = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("block", T.BinaryType())])
 
 
-def anchor_blocks(docs: DataFrame, units: Units, window: int, gram: int, buckets: int) -> DataFrame:
-    """(bucket, block of packed anchors) of documents (doc, ref, text)."""
+class Combiner:
+    """Splits the anchors of a task into those that go to their bucket and those known to repeat an earlier one.
+
+    A segment that a slice has several times is remembered with its first place; later ones are
+    compared with it.  Places are in the order of documents, not of arrival, so nothing is taken for a
+    repeat that isn't.
+    """
+
+    def __init__(self, within: bool):
+        self.within = within
+        self.seen: dict[tuple[int, int], tuple[int, int, int]] = {}
+        self.numbers = np.empty(0, np.uint64)
+
+    def split(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        number = mix64(rows["h"] ^ mix64(rows["c"]))
+        order = np.argsort(number, kind="stable")
+        new = runs(number[order])
+        count = np.diff(np.append(np.flatnonzero(new), len(rows)))
+        often = np.zeros(len(rows), bool)
+        often[order] = np.repeat(count > 1, count)
+        if len(self.numbers):
+            at = np.minimum(np.searchsorted(self.numbers, number), len(self.numbers) - 1)
+            often |= self.numbers[at] == number
+        some = rows[often]
+        if not len(some):
+            return rows, some
+        some = some[np.lexsort((some["start"], some["ref"], some["doc"], some["c"], some["h"]))]
+        new = runs(some["h"], some["c"])
+        heads = np.flatnonzero(new)
+        first = some[["doc", "ref", "start"]][heads]
+        if len(self.seen) + len(heads) > REMEMBERED:
+            self.seen = {}
+        for i, (key, place) in enumerate(zip(some[["h", "c"]][heads].tolist(), first.tolist())):
+            known = self.seen.get(key)
+            if known is not None and known < place:
+                first[i] = known
+            else:
+                self.seen[key] = place
+        self.numbers = np.sort(mix64(np.array([k[0] for k in self.seen], np.uint64) ^ mix64(np.array([k[1] for k in self.seen], np.uint64))))
+        first = first[np.cumsum(new) - 1]
+        repeat = some["doc"] != first["doc"]
+        if self.within:
+            repeat |= (some["ref"] != first["ref"]) | (some["start"] != first["start"])
+        return np.concatenate((rows[~often], some[~repeat])), some[repeat]
+
+
+def anchor_blocks(docs: DataFrame, units: Units, window: int, gram: int, buckets: int, within: bool) -> DataFrame:
+    """(bucket, block of packed anchors) of documents (doc, ref, text); buckets below 0 hold known repeats."""
     out = arrow_schema(_BLOCK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        combiner = Combiner(within)
         for part in slices(batches, SLICE):
             values, begins = units(part.column(2).to_pylist())
             found, text = segments(values, begins, window, gram)
             found["doc"] = part.column(0).to_numpy(zero_copy_only=False)[text]
             found["ref"] = part.column(1).to_numpy(zero_copy_only=False)[text]
             found["start"] -= begins[text].astype("i4")
+            found, repeats = combiner.split(found)
             dealt = list(deal(found, buckets))
+            if len(repeats):
+                dealt.append((-1 - int(repeats["doc"][0]) % buckets, repeats))
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in dealt], pa.int64()), pa.array([r.tobytes() for _, r in dealt], pa.binary())], schema=out)
 
     return docs.select("doc", "ref", "text").mapInArrow(run, _BLOCK)
 
 
-def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
-    """The blocks of each bucket (tuples, if there are several to a row); rows of a bucket stand together."""
+def by_bucket(batches: Iterator[pa.RecordBatch], passing: bool = False) -> Iterator[list]:
+    """The blocks of each bucket (tuples, if there are several to a row); rows of a bucket stand together.
+
+    ``passing``: blocks of buckets below 0 come one by one, each in a list after None.
+    """
     now, held = None, []
     for part in slices(batches, 256):
         for bucket, *block in zip(*(c.to_pylist() for c in part.columns)):
+            if passing and bucket < 0:
+                yield [None, block[0]]
+                continue
             if bucket != now and held:
                 yield held
                 held = []
@@ -153,8 +237,15 @@ def settle(blocks: DataFrame, within: bool) -> DataFrame:
     """
     out = arrow_schema(SPAN)
 
+    def made(rows: np.ndarray, closer: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[c])).cast(out.field(c).type) for c in ("doc", "ref", "start", "size", "at")] + [pa.array(np.ascontiguousarray(rows["h"]).view("i8")), pa.array(closer)], schema=out)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in by_bucket(batches):
+        for held in by_bucket(batches, passing=True):
+            if held[0] is None:
+                rows = np.frombuffer(held[1], ANCHOR)
+                yield made(rows, np.zeros(len(rows), bool))
+                continue
             rows = np.frombuffer(b"".join(held), ANCHOR)
             rows = rows[np.argsort(rows["h"], kind="stable")]
             new = runs(rows["h"])
@@ -174,8 +265,7 @@ def settle(blocks: DataFrame, within: bool) -> DataFrame:
                 several &= np.minimum.reduceat(rows["doc"], edges) != np.maximum.reduceat(rows["doc"], edges)
             closer = several[np.cumsum(new_h) - 1] & ~repeat
             keep = repeat | closer
-            rows, closer = rows[keep], closer[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[c])).cast(out.field(c).type) for c in ("doc", "ref", "start", "size", "at")] + [pa.array(np.ascontiguousarray(rows["h"]).view("i8")), pa.array(closer)], schema=out)
+            yield made(rows[keep], closer[keep])
 
     return blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, SPAN)
 
@@ -198,7 +288,7 @@ def repeated(
     docs = df.select(df[id_col].cast("long").alias("doc"), F.hash(df[text_col].cast("string")).alias("ref"), df[text_col].cast("string").alias("text"))
     buckets = buckets_for(docs, "text")
     known = docs.where("doc is not null")
-    settled = cut(settle(anchor_blocks(known, units, window, gram, buckets), within), f"{label}-settled")
+    settled = cut(settle(anchor_blocks(known, units, window, gram, buckets, within), within), f"{label}-settled")
     closer = cut(look(known.join(spans_of(settled, True), ["doc", "ref"]), buckets), f"{label}-closer")
     both = settled.where("not closer").select("doc", "ref", "start", "size").unionByName(closer)
     return docs, both.groupBy("doc", "ref").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
@@ -208,9 +298,9 @@ def covered(spans: list[dict] | None, n: int) -> np.ndarray:
     """Which of n units some spans (start, size) cover."""
     if not spans:
         return np.zeros(n, bool)
-    edge = np.zeros(n + 1, np.int64)
+    edge = np.zeros(n + 1, np.int32)
     s = np.array([x["start"] for x in spans])
     e = s + np.array([x["size"] for x in spans])
     np.add.at(edge, s, 1)
     np.add.at(edge, e, -1)
-    return np.cumsum(edge[:-1]) > 0
+    return np.cumsum(edge[:-1], dtype=np.int32) > 0

@@ -1,6 +1,6 @@
 """Substring dedup by seed and extend (operator 6).
 
-Seeds are winnowed anchors of five words.  Where documents share a seed, the match is extended word
+Seeds are winnowed anchors of three words with the five before or after them.  Where documents share a seed, the match is extended word
 by word to the left and to the right; a match that grows to the whole window length is a repeat, and
 repeats that overlap or touch grow together to maximal ones.
 """
@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from .common import arrow_schema, slices, space_words, word_hashes
 from .repeats import _BLOCK, SLICE, by_bucket, covered, deal, repeated
 
-WINDOW, GRAM = 13, 5
+WINDOW, GRAM = 13, 3
 _REACH = WINDOW - GRAM  # words that a match can need on one side
 
 #: A seed with the words around it; 0 where its segment ends.

@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _BYTE, arrow_schema, slices
+from .common import arrow_schema, slices
 from .repeats import SLICE, by_bucket, covered, deal, repeated, runs
 
-LENGTH, GRAM = 100, 24
+LENGTH, GRAM = 100, 12
 
 SEGMENT = np.dtype([("h", "u8"), ("doc", "i8"), ("ref", "i4"), ("start", "i4"), ("size", "i2")])
 
@@ -33,11 +33,6 @@ def _bytes(texts: list) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(parts), np.uint8), begins
 
 
-def _units(texts: list) -> tuple[np.ndarray, np.ndarray]:
-    raw, begins = _bytes(texts)
-    return _BYTE[raw], begins
-
-
 def _sorted(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order of rows of small non-negative keys, first key first, and where rows differ from the one before."""
     width = [int(k.max(initial=0)).bit_length() for k in keys]
@@ -190,7 +185,7 @@ def dedup_suffixes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     fully repeated rows count as one and get its result each.  A row with a null id keeps all.  Whole
     texts are read.  An empty table gives none; other columns are not read.
     """
-    docs, spans = repeated(df, id_col, text_col, _units, LENGTH, GRAM, True, _look, "suffix")
+    docs, spans = repeated(df, id_col, text_col, _bytes, LENGTH, GRAM, True, _look, "suffix")
     joined = docs.join(spans, ["doc", "ref"], "left")
     places = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType([T.StructField("doc", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", places), T.StructField("kept", T.BinaryType())])

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from provloom.llm import components, decontaminate, fmindex, langid, licenses, minhash, mix, secrets, substring, suffix, tokens, vectors
+from provloom.llm import common, components, decontaminate, fmindex, langid, licenses, minhash, mix, repeats, secrets, substring, suffix, tokens, vectors
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -114,6 +114,74 @@ def test_substring_dedup(spark, docs, empty):
     assert substring.dedup_substrings(empty).collect() == []
 
 
+@pytest.mark.parametrize("remembered", [200_000, 3])
+def test_hot_passages(spark, monkeypatch, remembered):
+    """A phrase in ever different surroundings, and passages that most texts have, in any order of documents."""
+    monkeypatch.setattr(repeats, "REMEMBERED", remembered)
+    monkeypatch.setattr(common, "PIECE", 300)
+    monkeypatch.setattr(repeats, "PIECE", 300)
+    rng = random.Random(6)
+    phrase, notice = " ".join(words(50, 6)), " ".join(words(51, 40))
+    rows = []
+    for i in rng.sample(range(1000), 160):
+        own = words(1000 + i, rng.choice([5, 30, 90]), 10**6)
+        at = rng.randrange(len(own))
+        parts = [*own[:at], phrase, *own[at:]]
+        if i % 3:
+            parts = [*parts, notice] if i % 2 else [notice, *parts, notice]
+        rows.append((i, " ".join(parts), None))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    want = brute_bytes(rows)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.kept_sha256) for r in suffix.digest(suffix.dedup_suffixes(df)).collect()}
+    assert got == want
+    seen, want = {}, {}
+    for i, t, _ in sorted(rows):
+        w, gone = t.split(), set()
+        for p in range(len(w) - 12):
+            if seen.setdefault(tuple(w[p : p + 13]), i) < i:
+                gone |= set(range(p, p + 13))
+        want[i] = (len(w), len(gone))
+    assert {r.doc_id: (r.n_words, r.n_removed) for r in substring.digest(substring.dedup_substrings(df)).collect()} == want
+
+
+def test_a_phrase_gathers_no_texts():
+    """Anchors with different halves don't meet; of equal segments a task sends the first alone."""
+    phrase = "the phrase that all have"
+    rows = [" ".join([*words(i, 40, 10**6), phrase, *words(10**4 + i, 40, 10**6)]) for i in range(300)]
+    raw, begins = suffix._bytes(rows)
+    found, _ = repeats.segments(raw, begins, suffix.LENGTH, suffix.GRAM)
+    assert np.unique(found["h"], return_counts=True)[1].max() == 1
+    raw, begins = suffix._bytes(rows[:1] * 50)
+    found, text = repeats.segments(raw, begins, suffix.LENGTH, suffix.GRAM)
+    found["doc"], found["ref"] = 100 - text, 0
+    combiner = repeats.Combiner(True)
+    for part in np.array_split(found, 10):
+        sent, known = combiner.split(part)
+        assert len(sent) + len(known) == len(part)
+    sent, known = repeats.Combiner(True).split(found)
+    assert set(sent["doc"]) == {51} and len(known) == 49 * len(sent)
+
+
+def test_long_texts_in_bounded_memory():
+    """A text of 24 MB costs a few times its size, and pieces give the windows of the whole."""
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    text = " ".join(f"w{x}" for x in rng.integers(0, 10**6, 3_200_000).tolist())
+    tracemalloc.start()
+    raw, begins = suffix._bytes([text])
+    found, _ = repeats.segments(raw, begins, suffix.LENGTH, suffix.GRAM)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 * len(text)
+    covered = np.zeros(len(raw) + 1, np.int64)
+    np.add.at(covered, found["start"], 1)
+    np.add.at(covered, found["start"] + found["size"] - suffix.LENGTH + 1, -1)
+    assert (np.cumsum(covered)[: len(raw) - suffix.LENGTH + 1] == 1).all()
+    hashes, _ = common.word_hashes([text], False)
+    assert len(hashes) == 3_200_000 and (hashes[-5:] == common.word_hashes([" ".join(text.split()[-5:])], False)[0]).all()
+
+
 # ---- 2: languages ---------------------------------------------------------------
 
 
