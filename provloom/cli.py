@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schema
 from .functions.text import split_list
-from .operators import evaluate, qa, repair
+from .operators import assemble, evaluate, ingest, qa, repair, resolve
 from .operators.graph import PropertyGraph
-from .sources import sinks, tables
+from .operators.relational import first_wins
+from .sources import extraction, sinks, tables
 
 _EDGE = "subject_id string, predicate string, object_id string, confidence double, evidence_count bigint, sources string"
 _GOLD = "annot_id string, pmid string, triple_id string, subject_name string, subject_type string, predicate string, object_name string, object_type string, evidence_span string, evidence_type string, notes string"
@@ -41,12 +43,64 @@ def parser() -> argparse.ArgumentParser:
             way.add_argument("--apply", "--yes", dest="dry_run", action="store_false")
         if name == "correct":
             p.add_argument("--decisions")
+    p = sub.add_parser("load-literature")
+    for name in ("--nodes", "--edges", "--rows"):
+        p.add_argument(name, required=True)
+    p.add_argument("--out")
+    way = p.add_mutually_exclusive_group()
+    way.add_argument("--dry-run", action="store_true", default=True)
+    way.add_argument("--load", dest="dry_run", action="store_false")
+    p = sub.add_parser("batch")
+    p.add_argument("step", choices=("submit", "status", "process", "retry", "rows"))
+    p.add_argument("--client", required=True, help="module:name of what makes the service's client")
+    p.add_argument("--folder", required=True)
+    p.add_argument("--requests", help="JSON lines of pmid, prompt and input_tokens")
+    p.add_argument("--cost-cap", type=float)
+    p.add_argument("--out")
     p = sub.add_parser("evaluate")
     p.add_argument("--gold", required=True)
     p.add_argument("--found", required=True)
     return top
 
 
+def _load_literature(spark: SparkSession, g: PropertyGraph, args: argparse.Namespace) -> None:
+    """Extracted rows resolved against the graph; reports what they add, and adds it only with --load."""
+    raw = tables.with_order(tables.read_tsv(spark, args.rows, _GOLD + ", confidence double").where("predicate not in ('NONE', 'ERROR')"))
+    names = lambda r: raw.select(F.col(f"{r}_name").alias("name"), F.col(f"{r}_type").alias("type"))
+    found = resolve.resolve_entities(names("subject").unionAll(names("object")), g.nodes.withColumn("ord", F.col("id")))
+    side = lambda r: found.select(F.col("name").alias(f"{r}_name"), F.col("claimed_type").alias(f"{r}_type"), F.col("id").alias(f"{r}_id"), F.col("type").alias(f"_{r}_type"))
+    rows = raw.join(side("subject"), ["subject_name", "subject_type"]).join(side("object"), ["object_name", "object_type"])
+    rows = qa.conforms_to_pair(rows.withColumns({"subject_type": F.col("_subject_type"), "object_type": F.col("_object_type")}).drop("_subject_type", "_object_type"), schema.pair_schema(spark))
+    print("## rows")
+    _show(rows.agg(F.count(F.lit(1)).alias("rows"), F.count_if("valid").alias("valid"), F.count_if(~F.col("valid")).alias("dropped")))
+    new = found.where("is_new").select("id", "label", "type").distinct()
+    good = rows.where("valid").select("subject_id", F.col("predicate"), "object_id", "confidence", F.lit("LLM").alias("source"), "evidence_type", F.col("pmid").alias("publication_id"), "evidence_span", "subject_type", "object_type", "ord")
+    new = assemble.referenced(new, good)
+    print("## new nodes by type")
+    _show(ingest.new_nodes_by_type(new.withColumn("is_new", F.lit(True))).orderBy("type"))
+    print("## edges by relation")
+    _show(good.groupBy("predicate").agg(F.count(F.lit(1)).alias("n")).orderBy("predicate"))
+    if not args.dry_run:
+        added = assemble.aggregate_evidence(good).select("subject_id", "predicate", "object_id", "confidence", F.col("evidence_count").cast("long").alias("evidence_count"), "sources")
+        edges, _ = assemble.upsert_edges(g.edges, added, g.nodes.select("id").unionAll(new.select("id")))
+        nodes, _ = assemble.load_literature(g.nodes, good, first_wins(new, ["id"], ["label", "type"]), good.limit(0))
+        print("nodes, edges:", *sinks.replace_graph(nodes, edges, args.out))
+
+
+def _batch(spark: SparkSession, args: argparse.Namespace) -> None:
+    module, _, name = args.client.partition(":")
+    job = extraction.Extraction(spark, args.folder, getattr(importlib.import_module(module), name)())
+    if args.step in ("submit", "retry"):
+        requests = spark.read.schema(extraction.REQUEST).json(args.requests)
+        print("submitted:", job.submit(requests, args.cost_cap) if args.step == "submit" else job.retry(requests))
+    elif args.step == "status":
+        _show(job.status())
+    elif args.step == "process":
+        print("results:", job.process())
+    else:
+        sinks.write_tsv(job.rows(schema.pair_schema(spark)).orderBy("pmid", "triple_id"), args.out)
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     args = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("provloom").getOrCreate()
@@ -56,7 +110,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
             print(f"## {name}")
             _show(df)
         return
+    if args.command == "batch":
+        _batch(spark, args)
+        return
     g = _graph(spark, args.nodes, args.edges)
+    if args.command == "load-literature":
+        _load_literature(spark, g, args)
+        return
     rules = schema.predicate_schema(spark)
     if args.command == "report":
         text = qa.report(g, g.edges, rules)
@@ -78,7 +138,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
             review = repair.triage(g.nodes, g.degrees())
             _show(review.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")))
             if args.out:
-                sinks.write_tsv(review.select("id", "label", F.col("type").alias("current_type"), "bucket", F.coalesce(F.col("degree").cast("string"), F.lit("n/a")).alias("degree"), "suggested_decision", F.lit("").alias("decision")).orderBy("bucket", F.desc("degree"), "id"), f"{args.out}/review")
+                sinks.write_tsv(repair.review_order(review).select("id", "label", F.col("type").alias("current_type"), "bucket", F.coalesce(F.col("degree").cast("string"), F.lit("n/a")).alias("degree"), "suggested_decision", F.lit("").alias("decision")), f"{args.out}/review")
         if args.out:
             sinks.write_tsv(nodes, f"{args.out}/nodes")
     elif args.command == "load":

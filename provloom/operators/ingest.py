@@ -173,6 +173,32 @@ def resolution_report(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("lookups"), F.count_if(~F.col("is_new")).alias("matched"), F.count_if(F.col("is_new")).alias("new"), F.count_if(~F.col("valid")).alias("dropped"), F.count_if(F.col("valid")).alias("surviving"))
 
 
+def new_nodes_by_type(rows: DataFrame) -> DataFrame:
+    """(type, n): new entities (id, type, is_new) by type, each id once."""
+    return rows.where("is_new").groupBy("type").agg(F.count_distinct("id").alias("n"))
+
+
+def in_classes(rows: DataFrame, superclass: str, classes: tuple[str, ...], key: str, ids: DataFrame) -> DataFrame:
+    """Distinct rows whose superclass is a listed one, or whose key is in a list of ids (id), whatever its class."""
+    allowed = ids.select(F.col("id").alias("_id")).distinct().withColumn("_allowed", F.lit(True))
+    j = rows.join(allowed, F.col(key) == F.col("_id"), "left")
+    return j.where(F.col(superclass).isin(*classes) | F.col("_allowed")).drop("_id", "_allowed").distinct()
+
+
+def source_coverage(rows: DataFrame, marks: DataFrame, key: str, mark: str, part: str) -> DataFrame:
+    """(covered, total, pct): distinct keys of which some mark holds a part, ignoring case, of all distinct keys."""
+    hit = marks.where(F.contains(F.upper(mark), F.lit(part.upper()))).select(key).distinct().withColumn("_hit", F.lit(True))
+    flagged = rows.select(key).distinct().join(hit, key, "left")
+    return flagged.agg(F.count("_hit").alias("covered"), F.count(F.lit(1)).alias("total"), F.round(F.coalesce(F.try_divide(100.0 * F.count("_hit"), F.count(F.lit(1))), F.lit(0.0)), 6).alias("pct"))
+
+
+def match_coverage(names: DataFrame, resolved: DataFrame) -> DataFrame:
+    """(covered, total, pct): distinct names (name) with an exact hit (query, id)."""
+    hit = resolved.where("id is not null").select(F.col("query").alias("name")).distinct().withColumn("_hit", F.lit(True))
+    flagged = names.select("name").distinct().join(hit, "name", "left")
+    return flagged.agg(F.count("_hit").alias("covered"), F.count(F.lit(1)).alias("total"), F.round(F.coalesce(F.try_divide(100.0 * F.count("_hit"), F.count(F.lit(1))), F.lit(0.0)), 6).alias("pct"))
+
+
 def batch_status(requests: DataFrame) -> DataFrame:
     """Requests by status, and the percentage that has ended."""
     ended = F.col("status").isin("succeeded", "errored", "canceled", "expired")

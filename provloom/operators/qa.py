@@ -97,6 +97,12 @@ def load_gate(nodes: DataFrame, edges: DataFrame, types: list[str], predicates:
     return t.unionAll(p).unionAll(d)
 
 
+def samples(df: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The first n rows in order, each with the number of all rows (``total``), for a report."""
+    total = df.agg(F.count(F.lit(1)).alias("total"))
+    return df.orderBy(*order).limit(n).crossJoin(F.broadcast(total))  # one row on the right
+
+
 def check_gate(found: DataFrame) -> None:
     """Raises on the first few problems of ``load_gate``."""
     rows = found.limit(5).collect()

@@ -65,6 +65,11 @@ def triage(nodes: DataFrame, degrees: DataFrame | None = None, literature_prefix
     return out.join(degrees.select("id", "degree"), "id", "left")
 
 
+def review_order(review: DataFrame) -> DataFrame:
+    """What ``triage`` found as a reviewer reads it: by bucket, highest degree first, an unknown one as 0, then by id."""
+    return review.orderBy("bucket", F.coalesce("degree", F.lit(0)).desc(), "id")
+
+
 def first_phase(nodes: DataFrame) -> DataFrame:
     """Nodes with only the high-confidence microbes retyped."""
     sure = triage(nodes).where("bucket = 'high_confidence_microbe'").select("id", F.lit("Microbe").alias("type"))

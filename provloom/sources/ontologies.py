@@ -14,7 +14,7 @@ SCHEMA = "id string, label string, exact array<string>, other array<string>, ord
 
 def read_obo(spark: SparkSession, path: str) -> DataFrame:
     """Terms of an OBO file: stanzas are records of a text source, so a large file is read in parallel."""
-    stanzas = spark.read.text(path, lineSep="\n[").select("value", F.monotonically_increasing_id().alias("ord")).where("value like 'Term]%'")
+    stanzas = spark.read.text(path, lineSep="\n[").select("value", F.monotonically_increasing_id().alias("ord")).where("value like 'Term]%' or value like '[Term]%'")  # a file without a header begins with a stanza
     line = lambda tag: F.regexp_extract("value", rf"(?m)^{tag}: (.*?)\s*$", 1)
     quoted = r'(?m)^synonym: "((?:[^"\\]|\\.)*)" '
     exact = F.regexp_extract_all("value", F.lit(quoted + "EXACT"), F.lit(1))

@@ -39,6 +39,75 @@ def fetch(ids: DataFrame, key: str, client: Callable[[list[str]], list[str | Non
     return ids.select(F.col(key).cast("string").alias(key)).where(F.col(key).isNotNull()).distinct().repartition(partitions, key).mapInArrow(run, schema)
 
 
+class Paced:
+    """A client that is asked no more often than so many times a second, by one task; see ``fetch(partitions=1)``."""
+
+    def __init__(self, client: Callable, per_second: float = 1.0, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        self.client, self.pause, self.clock, self.sleep, self.last = client, 1.0 / per_second, clock, sleep, None
+
+    def __call__(self, *args):
+        now = self.clock()
+        if self.last is not None and now < self.last + self.pause:
+            self.sleep(self.last + self.pause - now)
+            now = self.last + self.pause
+        self.last = now
+        return self.client(*args)
+
+
+def read_service(spark: SparkSession, requests: list[str], client: Callable[[str], str], left: str, right: str, per_second: float = 1.0) -> DataFrame:
+    """(request, left, right) from a service that answers a request (``/list/x``, ``/link/x/y``) with two columns.
+
+    A stated, short list of requests, asked by one task at a bounded pace, each tried three times.
+    """
+    paced = Paced(client, per_second)
+    asked = spark.createDataFrame([(r,) for r in requests], "request string")
+    answers = fetch(asked, "request", lambda some: [retried(lambda r=r: paced(r)) for r in some], partitions=1)
+    lines = F.explode(F.transform(F.split("response", r"\r?\n"), lambda x: F.split(x, "\t")))
+    bare = lambda i: F.regexp_replace(F.get("_l", i), "^[a-z]+:", "")
+    return answers.select("request", lines.alias("_l")).where(F.size("_l") >= 2).select("request", bare(0).alias(left), bare(1).alias(right))
+
+
+def search_pages(spark: SparkSession, searches: list[tuple[str, int]], client: Callable[[str, int, int], list[str]], page: int = 5000, partitions: int = 8) -> DataFrame:
+    """(query, id): distinct results of searches (query, number of results), asked page by page in the tasks.
+
+    ``client(query, offset, page)`` returns the ids of one page; each page is tried three times.
+    """
+    pages = [(q, at) for q, n in searches for at in range(0, n, page)]
+    asked = spark.createDataFrame(pages, "query string, at long").repartition(max(1, min(partitions, len(pages))), "query", "at")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            for q, at in zip(*(c.to_pylist() for c in part.columns)):
+                found = retried(lambda: client(q, at, page))
+                yield pa.RecordBatch.from_arrays([pa.array([q] * len(found), pa.string()), pa.array(found, pa.string())], names=["query", "id"])
+
+    return asked.mapInArrow(run, "query string, id string").distinct()
+
+
+def look_up(names: DataFrame, key: str, exact: Callable[[str], tuple[str, str] | None], fuzzy: Callable[[str], tuple[str, str] | None], partitions: int = 8) -> DataFrame:
+    """(name, id, label, match_type) from a resolution service: its exact search first, then its fuzzy one, else no_match.
+
+    Each distinct name is asked once, ignoring case and outer white space; null and blank names aren't.
+    """
+    schema = "_name string, id string, label string, match_type string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            rows = []
+            for name in part.column(0).to_pylist():
+                for kind, ask in (("exact", exact), ("fuzzy", fuzzy)):
+                    if found := retried(lambda: ask(name)):
+                        rows.append((name, *found, kind))
+                        break
+                else:
+                    rows.append((name, None, None, "no_match"))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(4)], names=["_name", "id", "label", "match_type"])
+
+    asked = names.select(F.lower(F.trim(key)).alias("_name")).where("_name <> ''").distinct().repartition(partitions, "_name")
+    found = asked.mapInArrow(run, schema)
+    return names.select(F.col(key).alias("name")).distinct().withColumn("_name", F.lower(F.trim("name"))).join(found, "_name").drop("_name")
+
+
 def read_two_column_tsv(spark: SparkSession, path: str, left: str, right: str) -> DataFrame:
     """Cached answers of a list or link service: two columns without a header, prefixes like ``cpd:`` cut off."""
     bare = lambda c: F.regexp_replace(c, "^[a-z]+:", "")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import clean
+from ..operators.relational import last_wins
 from ..schema import OPTIONAL
 
 
@@ -88,6 +89,11 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str = ABST
     return spark.read.schema(schema).json(path, mode="FAILFAST" if strict else "DROPMALFORMED")
 
 
+def last_records(records: DataFrame, key: str = "pmid") -> DataFrame:
+    """One record per key of JSON lines; of several the last of the file counts."""
+    return last_wins(with_order(records).where(F.col(key).isNotNull()), [key], ["ord"]).drop("ord")
+
+
 def read_dmp(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """A taxonomy dump: fields between tab-bar-tab, lines end in tab-bar; short lines are skipped."""
     parts = F.split(F.regexp_replace("value", r"\t?\|\s*$", ""), r"\t\|\t")

@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from provloom.plans import graph_queries, registry, table_queries  # noqa: F401
+from provloom.plans import graph_queries, registry, source_queries, table_queries  # noqa: F401
 from provloom.plans import testgraph as tg
 
 

@@ -216,3 +216,31 @@ def test_row_validation(spark):
     assert good.count() == 1 and rows(bad.groupBy("reason").count()) == [("confidence", 2), ("object_type", 1)]
     with pytest.raises(Exception, match="invalid triple"):
         schema.checked(t).collect()
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    """A chain whose ids are in order, the worst case of following the smallest neighbour."""
+    written = []
+    make = paths.Rounds.__call__
+    monkeypatch.setattr(paths.Rounds, "__call__", lambda self, df, label: written.append(label) or make(self, df, label))
+    n = 1000
+    nodes = spark.range(n).select(F.format_string("n%05d", "id").alias("id"))
+    edges = spark.range(n - 1).select(F.format_string("n%05d", "id").alias("subject_id"), F.format_string("n%05d", F.col("id") + 1).alias("object_id"))
+    assert {r.component for r in paths.components(nodes, edges).collect()} == {"n00000"}
+    assert written.count("cc-map") < 15
+
+
+def test_search_holds_its_tiers_without_comparing_all(spark):
+    entries = spark.createDataFrame([(i, f"x:{i}", l, e, o) for i, (l, e, o) in enumerate([("Ring", [], []), ("ring of red", [], []), ("red big ring", [], ["ab"]), ("String", ["Red Ring"], []), ("", [], []), (None, None, None)])], "ord int, id string, label string, exact array<string>, other array<string>")
+    q = spark.createDataFrame([("ring",), ("red ring",), ("a",), ("",), ("in",), ("zz",), (None,)], "query string")
+    found = resolve.search_ontology(q, entries)
+    assert "CartesianProduct" not in found._jdf.queryExecution().toString() and "NestedLoop" not in found._jdf.queryExecution().toString()
+    got = {}
+    for r in found.orderBy("query", "rank").collect():
+        got.setdefault(r.query, []).append((r.id, r.match_type))
+    assert got == {
+        "ring": [("x:0", "exact_label"), ("x:1", "label_starts_with"), ("x:2", "tokenized_label"), ("x:3", "substring_label")],
+        "red ring": [("x:3", "exact_synonym"), ("x:1", "tokenized_label"), ("x:2", "tokenized_label")],
+        "a": [("x:2", "substring_synonym")],
+        "in": [("x:0", "substring_label"), ("x:1", "substring_label"), ("x:2", "substring_label"), ("x:3", "substring_label")],
+    }

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from provloom.plans import graph_queries, registry, table_queries  # noqa: F401
+from provloom.plans import graph_queries, registry, source_queries, table_queries  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
