@@ -1,5 +1,7 @@
 """Stages of the pipeline, each on its own input, against brute force."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,3 +99,39 @@ def test_near_duplicate_stage_keeps_rows_not_ids(spark, documents, sf_dir):
         assert sorted(pairs, key=repr) == sorted([*want, (8, say("h"))], key=repr)
         assert {(i, s) for i, _, _, s, _ in found} >= {(9, "s8"), (None, "s12")}
     assert len(kept) == 1  # whatever the order of the rows
+
+
+def test_language_stage_is_that_of_direct_models(spark, documents, sf_dir):
+    """The stage's choice over a few languages and texts, by probabilities straight from their definition."""
+    import random
+
+    from provloom.llm import langid
+
+    from .test_llm_operators import kneser_ney
+
+    rng = random.Random(21)
+    say = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(3, 7))) for _ in range(n))
+    rows = [(i, say("aabbcd" if i % 2 else "ddeeff", 25), "xx" if i % 2 else "yy", "s", 1) for i in range(40)]
+    rows += [(100, say("ghijk", 40), None, "s", 1), (101, say("aabbcd", 8) + " " + say("xyz", 30), None, "s", 1), (102, say("abcdef", 30), None, "s", 1), (103, "12", None, "s", 1)]
+    docs = spark.createDataFrame(rows, documents.schema)
+    labelled = pipeline.held_out(docs).where("lang is not null and not held_out").collect()
+    order = {r.doc_id: r.h for r in docs.selectExpr("doc_id", "shiftrightunsigned(xxhash64(cast(doc_id as string)), 1) as h").collect()}
+    samples = {}
+    for r in sorted(labelled, key=lambda r: order[r.doc_id]):
+        samples.setdefault(r.lang, []).append(r.text)
+    model = langid.fit(samples)
+    direct = [kneser_ney([w for i, t in enumerate(samples[x]) if i % 5 != 4 or len(samples[x]) < 10 for w in langid.words_of(t)]) for x in model.languages]
+    kept = []
+    for i, text, *_ in rows:
+        words = langid.words_of(text)
+        n = sum(len(w) + 1 for w in words)
+        rates = []
+        for p in direct:
+            padded = ["\x01" * (langid.ORDER - 1) + w + "\x02" for w in words]
+            rates.append(-sum(math.log(p(s[k], s[:k], model.floor)) for s in padded for k in range(langid.ORDER - 1, len(s))) / n if n else 0)
+        if n:
+            limit, per_char, per_text = model.calibration[rates.index(min(rates))]
+            if min(rates) - limit <= langid.REJECT_AT * math.sqrt(per_char / n + per_text):
+                kept.append(i)
+    assert {100, 103}.isdisjoint(kept) and set(range(40)) <= set(kept)
+    assert ids(pipeline.identify_languages(spark, docs, sf_dir)) == kept
