@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -55,18 +56,23 @@ def percent(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, 100.0 * part / whole).otherwise(F.lit(0.0))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed one time, however often it stands in the expression."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def normalize_name(c: Column, aliases: dict[str, str] = DISEASES) -> Column:
     """The form in which names are compared; '' for null, '' and '-'.
 
     Lower case, Greek letters by name, underscores and punctuation but hyphens as spaces, leading
     articles dropped, disease abbreviations resolved.
     """
-    low = strip(F.lower(c))
-    spelled = F.when(low.rlike("[α-ω]"), reduce(lambda s, g: F.replace(s, F.lit(g), F.lit(GREEK[g])), GREEK, low)).otherwise(low)
+    spell = lambda low: F.when(low.rlike("[α-ω]"), reduce(lambda s, g: F.replace(s, F.lit(g), F.lit(GREEK[g])), GREEK, low)).otherwise(low)
+    spelled = once(strip(F.lower(c)), spell)
     plain = squeeze(F.regexp_replace(F.replace(spelled, F.lit("_"), F.lit(" ")), r"(?U)[^\w\s-]", " "))
     bare = F.regexp_replace(plain, f"^(?:(?:{'|'.join(LEADING)})(?: |$))+", "")
     known = F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv])
-    return F.when(c.isNull() | (c == "-"), F.lit("")).otherwise(F.coalesce(F.element_at(known, bare), bare))
+    return F.when(c.isNull() | (c == "-"), F.lit("")).otherwise(once(bare, lambda name: F.coalesce(F.element_at(known, name), name)))
 
 
 def singular(name: Column) -> Column:
