@@ -91,7 +91,6 @@ def mix_sources(
         .withColumn("_epochs", F.when(F.col("source_size") > 0, F.floor(F.col("_budget") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
         .withColumn("_rest", F.col("_budget") - F.col("_epochs") * F.col("source_size"))
         .withColumn("_ranges", F.ceil(F.col("n_docs") / RANGE_ROWS))
-        .withColumn("_no", F.xxhash64("source"))
         .withColumnRenamed("source", "_source"),
         "mix-plan",
     )
