@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import os
 import unicodedata
 from collections.abc import Callable
 
@@ -98,6 +99,7 @@ def make_counter(spec_text: str) -> Callable[[str], int]:
     counts = PieceCounter(spec)
     special = [t["content"] for t in spec.get("added_tokens", []) if not t.get("normalized")]
     cut_special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
+    mark = os.path.commonprefix(special)  # '' if they have none; then every text is cut
     split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
     # White space of the file's pattern language: not U+001C to U+001F, which Python's \s has.
     pieces = regex.compile(split["pattern"]["Regex"].replace("\\s", "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000")).findall
@@ -109,7 +111,7 @@ def make_counter(spec_text: str) -> Callable[[str], int]:
         return sum(map(counts.__getitem__, pieces(text.lower())))
 
     def count(text: str) -> int:
-        if cut_special is None or "<|" not in text:
+        if cut_special is None or mark not in text:
             return plain(text)
         parts = cut_special.split(text)
         return len(parts) - 1 + sum(plain(p) for p in parts if p)

@@ -436,6 +436,22 @@ def test_tokens(spark, docs, empty):
     assert tokens.count_tokens(empty, VOCABULARY).collect() == []
 
 
+def test_special_tokens_of_any_spelling():
+    """Special tokens are found by what the file says they are, with and without a common beginning."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    spec = json.loads(open(VOCABULARY, encoding="utf-8").read())
+    for extra in (["<|one|>"], ["[SEP]", "<|one|>"]):
+        n = max(spec["model"]["vocab"].values())
+        more = [{"id": n + 100 + i, "content": c, "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True} for i, c in enumerate(extra)]
+        changed = json.dumps(spec | {"added_tokens": [*spec.get("added_tokens", []), *more]})
+        lib, count = Tokenizer.from_str(changed), tokens.make_counter(changed)
+        for text in ("a [SEP] b", "x<|one|>y <|endoftext|>", "plain", "[SEP][SEP]", "<|"):
+            assert count(text) == len(lib.encode(text, add_special_tokens=False).ids), text
+
+
 # ---- 8: near duplicates -----------------------------------------------------------------
 
 
