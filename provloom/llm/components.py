@@ -11,7 +11,8 @@ from .common import cut, scratch
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of undirected edges (a, b), two long columns; a component is its smallest node.
 
-    Each round ranks the nodes at random (by a hash with the round's number), maps every node to the
+    Each round ranks the nodes, the first two by their numbers, which settles stars around a smallest
+    node at once, the others at random (by a hash with the round's number); it maps every node to the
     one of lowest rank among itself and its neighbours, follows that map once more and contracts the
     edges along it, until none are left.  A round takes a fixed share of the nodes whatever the order
     of their numbers, so a chain of n nodes takes a number of rounds logarithmic in n.  The lowest
@@ -45,6 +46,10 @@ def _lowest(edges: DataFrame, number: int) -> DataFrame:
         return F.xxhash64(F.lit(number), F.col(node))
 
     both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    step = both.groupBy("a").agg(F.min_by("b", rank("b")).alias("b"), F.min(rank("b")).alias("r"))
-    step = cut(step.select(F.col("a").alias("node"), F.when(F.col("r") < rank("a"), F.col("b")).otherwise(F.col("a")).alias("to")), "step")
+    if number < 2:
+        step = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("to"))
+    else:
+        step = both.groupBy("a").agg(F.min_by("b", rank("b")).alias("b"), F.min(rank("b")).alias("r"))
+        step = step.select(F.col("a").alias("node"), F.when(F.col("r") < rank("a"), F.col("b")).otherwise(F.col("a")).alias("to"))
+    step = cut(step, "step")
     return step.join(step.select(F.col("node").alias("to"), F.col("to").alias("then")), "to").select("node", F.col("then").alias("to"))
