@@ -104,8 +104,9 @@ def shortest_path(nodes: DataFrame, edges: DataFrame, source: str, target: str,
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component) of every node; a component is its smallest id, a node without edges its own.
 
-    Edges with an unknown endpoint are ignored.  In each round nodes are ranked by a hash of their id
-    and the round's number, every node points to the one of lowest rank among itself and its
+    Edges with an unknown endpoint are ignored.  In each round nodes are ranked, in the first two by
+    their ids, which settles stars around a smallest node at once, then by a hash of their id and the
+    round's number; every node points to the one of lowest rank among itself and its
     neighbours, that step is taken twice, and edges follow, until none is left: the number of rounds
     is logarithmic however long a chain is and however its ids are ordered.
     """
@@ -138,6 +139,8 @@ def _lowest(edges: DataFrame, number: int) -> DataFrame:
         return F.xxhash64(F.lit(number), F.col(node))
 
     both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    if number < 2:
+        return both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("to"))
     lowest = both.groupBy("a").agg(F.min_by("b", rank("b")).alias("b"), F.min(rank("b")).alias("_r"))
     return lowest.select(F.col("a").alias("id"), F.when(F.col("_r") < rank("a"), F.col("b")).otherwise(F.col("a")).alias("to"))
 
