@@ -11,6 +11,12 @@ number of sets, spread in chunks however many sets have one centre.  Mostly that
 band.  Where candidates that hang together are in several parts still, these parts are compared by
 pairs of blocks, but no part with itself: intersections of all pairs of a block pair come from an
 inverted index of shingles, and only the links of a spanning forest leave the task.
+
+Before that, groups of more than a block are narrowed by prefixes, which loses no link.  Shingles are
+put in one order: those that only one part of a group has come first, then the rarer ones.  The first
+common shingle of two linked sets is among the first n - ceil(threshold * n) + 1 shingles of either,
+n being its size.  So a set whose prefix has no shingle of another part's prefix has no link to find,
+and sets that no such shingle connects aren't compared.
 """
 
 from __future__ import annotations
@@ -237,6 +243,49 @@ def _verify(dealt: DataFrame, percent: int) -> DataFrame:
     return dealt.select("group", "x", "y", "block", "node", "set").mapInArrow(run, _LINK)
 
 
+def _set_rows(dealt: DataFrame) -> DataFrame:
+    """(group, root, node, n_shingles, set as an array) of rows that stand together by node, each node once."""
+    schema = T.StructType([*_longs("group", "root", "node", "n_shingles"), T.StructField("shingles", T.ArrayType(T.LongType()))])
+    out = arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for part in slices(batches):
+            nodes, new = part.column(2).to_pylist(), []
+            for i, node in enumerate(nodes):
+                if node != last:  # a row that repeats comes in turn
+                    new.append(i)
+                    last = node
+            part = part.take(pa.array(new, pa.int64()))
+            sets = [np.frombuffer(raw, np.int64) for raw in part.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(i).cast(out.field(i).type) for i in range(4)] + [pa.array(sets, out.field(4).type)], schema=out)
+
+    return dealt.select("group", "root", "node", "n_shingles", "set").mapInArrow(run, schema)
+
+
+def _narrowed(members: DataFrame, shipped: DataFrame, percent: int) -> DataFrame:
+    """``members`` in smaller groups: those that prefixes connect, of groups that fill more than a block.
+
+    Sets that can't have a link to another part are left out.  What is exchanged grows with the
+    shingles of these groups, not with pairs.
+    """
+    size = members.groupBy("group").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
+    large = cut(size.where((F.col("lo") < F.col("hi")) & ((F.col("n") > BLOCK_SETS) | (F.col("s") > BLOCK_SHINGLES))).select("group"), "minhash-large")
+    if large.isEmpty():
+        return members
+    sets = cut(_set_rows(_dealt(shipped, members.join(large, "group"), ["node"], [])), "minhash-large-sets")
+    rows = sets.select("group", "root", "node", "n_shingles", F.explode("shingles").alias("shingle"))
+    several = rows.groupBy("group", "shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("holders")).where("lo < hi").select("group", "shingle", "holders")
+    ranked = rows.join(several.hint("merge"), ["group", "shingle"])
+    of_node = Window.partitionBy("node")
+    ranked = ranked.withColumn("place", F.row_number().over(of_node.orderBy("holders", "shingle")) + F.col("n_shingles") - F.count(F.lit(1)).over(of_node))
+    prefix = cut(ranked.where(F.col("place") <= F.floor(F.col("n_shingles") * (100 - percent) / 100) + 1).select("group", "shingle", "node", "root"), "minhash-prefixes")
+    shared = prefix.groupBy("group", "shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("node").alias("a")).where("lo < hi").select("group", "shingle", "a")
+    near = components(prefix.join(shared.hint("merge"), ["group", "shingle"]).select("a", F.col("node").alias("b")).distinct())
+    narrow = members.join(near, "node").select("node", F.col("component").alias("group"), "root", "n_shingles")
+    return cut(members.join(large, "group", "left_anti").select("node", "group", "root", "n_shingles").unionAll(narrow), "minhash-narrowed")
+
+
 def _blocks(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Tasks (group, x, y) and which sets go to them (node, group, x, y, block), for what centres didn't link.
 
@@ -290,7 +339,7 @@ def _components(docs: DataFrame, percent: int, first: Column, keep: Callable[[Da
 
     roots = components(linked).select("node", F.col("component").alias("root"))
     members = groups.withColumnRenamed("component", "group").join(roots, "node", "left").join(nodes.select("node", "n_shingles"), "node").select("node", "group", F.coalesce("root", "node").alias("root"), "n_shingles")
-    tasks, wanted = _blocks(cut(members, "minhash-members"))
+    tasks, wanted = _blocks(_narrowed(cut(members, "minhash-members"), shipped, percent))
     if not tasks.isEmpty():
         linked = linked.unionAll(cut(_verify(_dealt(shipped, wanted, ["group", "x", "y"], ["block", "node"]), percent), "minhash-links"))
         roots = components(linked).select("node", F.col("component").alias("root"))

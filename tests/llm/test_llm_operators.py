@@ -501,6 +501,25 @@ def test_near_duplicates_edge_cases(docs, empty):
     assert minhash.near_duplicates(empty).collect() == []
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_prefixes_narrow_groups_and_lose_no_link(spark, monkeypatch, percent):
+    monkeypatch.setattr(minhash, "BLOCK_SETS", 20)
+    rng = random.Random(5)
+    common = rng.sample(range(1, 10**6), 60)
+    sets = []
+    for base in (rng.sample(range(10**6, 2 * 10**6), 30) for _ in range(8)):  # each holds the common part; some are near each other
+        for _ in range(6):
+            own = rng.choice([base, rng.sample(range(2 * 10**6, 10**7), 30)])
+            sets.append({x for x in [*common, *own] if rng.random() > 0.05})
+    nodes = [(i, 100 if i < 45 else 101, i - i % 2, len(s)) for i, s in enumerate(sets)]  # a large group and a small one, parts of two sets
+    members = spark.createDataFrame(nodes, "node long, group long, root long, n_shingles long")
+    held = [(i, bytearray(np.sort(np.array(list(s), np.uint64)).tobytes())) for i, s in enumerate(sets) for _ in range(1 + (i == 3))]  # a row repeats
+    got = {r.node: r.group for r in minhash._narrowed(members, spark.createDataFrame(held, "node long, set binary"), percent).collect()}
+    linked = [(i, j) for i in range(45) for j in range(i) if nodes[i][2] != nodes[j][2] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
+    assert linked and all(i in got and got.get(j) == got[i] for i, j in linked)
+    assert len(set(got) - {45, 46, 47}) < 45 and {got[i] for i in (45, 46, 47)} == {101}
+
+
 def test_sketch_estimates_similarity():
     a = np.unique(np.random.default_rng(0).integers(0, 2**63, 4000).astype(np.uint64))
     for share in (0.5, 0.85):
