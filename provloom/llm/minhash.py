@@ -279,9 +279,13 @@ def _narrowed(members: DataFrame, shipped: DataFrame, percent: int) -> DataFrame
     ranked = rows.join(several.hint("merge"), ["group", "shingle"])
     of_node = Window.partitionBy("node")
     ranked = ranked.withColumn("place", F.row_number().over(of_node.orderBy("holders", "shingle")) + F.col("n_shingles") - F.count(F.lit(1)).over(of_node))
-    prefix = cut(ranked.where(F.col("place") <= F.floor(F.col("n_shingles") * (100 - percent) / 100) + 1).select("group", "shingle", "node", "root"), "minhash-prefixes")
-    shared = prefix.groupBy("group", "shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("node").alias("a")).where("lo < hi").select("group", "shingle", "a")
-    near = components(prefix.join(shared.hint("merge"), ["group", "shingle"]).select("a", F.col("node").alias("b")).distinct())
+    inside = F.col("place") <= F.floor(F.col("n_shingles") * (100 - percent) / 100) + 1
+    chunks = F.ceil(F.col("holders") / CHUNK_SETS).cast("long")
+    prefix = cut(ranked.where(inside).select("group", "shingle", F.pmod(F.xxhash64("node"), chunks).alias("chunk"), "node", "root", "holders"), "minhash-prefixes")
+    shared = prefix.groupBy("group", "shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("node").alias("a"), F.min("holders").alias("holders")).where("lo < hi")
+    # A shingle that very many sets have is met in chunks of them.
+    shared = shared.select("group", "shingle", "a", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("chunk"))
+    near = components(prefix.join(shared.hint("merge"), ["group", "shingle", "chunk"]).select("a", F.col("node").alias("b")).distinct())
     narrow = members.join(near, "node").select("node", F.col("component").alias("group"), "root", "n_shingles")
     return cut(members.join(large, "group", "left_anti").select("node", "group", "root", "n_shingles").unionAll(narrow), "minhash-narrowed")
 
