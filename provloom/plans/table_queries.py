@@ -548,18 +548,9 @@ s AS (SELECT q.vec_id AS query, v.vec_id AS id, q.label = v.label AS hit, round(
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, id) AS rank FROM s), b AS (SELECT query, min(rank) AS rank FROM r WHERE hit GROUP BY query)
 SELECT round(avg(1.0 / rank), 6) AS mrr, round(avg(CAST(rank <= 1 AS INT)), 6) AS hits_at_1, round(avg(CAST(rank <= 3 AS INT)), 6) AS hits_at_3, round(avg(CAST(rank <= 10 AS INT)), 6) AS hits_at_10, round(avg(rank), 6) AS mean_rank FROM b""")
 def rank_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """Stated queries (every id divisible by 20) against all vectors: is one of the same label near the top.
-
-    Pairs aren't dealt out by query: each pass folds them where they are made.  The first finds a query's
-    best true candidate, the second counts those before it.
-    """
-    e = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
-    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("label").alias("_l"), F.col("embedding").alias("_q"))
-    score = F.round(vectors.cosine(F.col("_q"), F.col("embedding")), 9)
-    hits = q.join(e, (F.col("query") != F.col("vec_id")) & (F.col("_l") == F.col("label"))).select("query", F.struct((-score).alias("score"), F.col("vec_id").alias("id")).alias("at"))
-    best = q.drop("_l").join(hits.groupBy("query").agg(F.min("at").alias("best")), "query")
-    pairs = best.join(e, F.col("query") != F.col("vec_id")).select("query", (F.struct((-score).alias("score"), F.col("vec_id").alias("id")) <= F.col("best")).cast("long").alias("before"))
-    return vectors.rank_metrics(pairs.groupBy("query").agg(F.sum("before").alias("rank")))
+    """Stated queries (every id divisible by 20) against all vectors: is one of the same label near the top."""
+    e = table(spark, d, "embeddings")
+    return vectors.rank_metrics(vectors.label_ranks(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding", "label"))
 
 
 @query("SELECT vec_id AS entity_id, " + ", ".join(f"round(CAST(embedding[{i + 1}] AS DOUBLE), 6) AS d{i}" for i in range(64)) + " FROM embeddings")
